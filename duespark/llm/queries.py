@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duespark.llm import packing, sentencepiece_bpe
+from duespark.llm import fingerprints, packing, quality_rules, sentencepiece_bpe
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,8 +24,22 @@ def op8_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.round_trip(_read(spark, sf_dir, "documents"), PIECES)
 
 
+def op9_fingerprints(spark, sf_dir):
+    pairs = fingerprints.fingerprint_pairs(_read(spark, sf_dir, "documents"))
+    text, like = fingerprints.as_text, fingerprints.likeness
+    return pairs.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), like("fp", "edited_fp").alias("near_edited"), like("fp", "next_fp").alias("near_next"))
+
+
+def op10_quality_rules(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    trusted = _read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules.judge(docs, quality_rules.fit_ratios(docs, trusted))
+
+
 QUERIES = {
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
