@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duespark.llm import fingerprints, packing, quality_rules, sentencepiece_bpe
+from duespark.llm import fingerprints, packing, quality_rules, sentencepiece_bpe, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -15,6 +15,11 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_warc(spark, sf_dir):
+    archive = warc.round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return archive.select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to", "intact")
+
+
 def op7_packing(spark, sf_dir):
     pieces = packing.pack(_read(spark, sf_dir, "documents"), BYTE_BPE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -37,6 +42,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
