@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duespark.llm.groups import connected_components, dealt, local_roots, pairs_within, whole_groups
-from duespark.llm.scratch import write_table
+from duespark.llm.scratch import broadcast_if, write_table
 from duespark.llm.shingles import MinHash, row_starts, shingle_hashes, span_hashes, text_chunks, words
 
 THRESHOLD = 0.8
@@ -151,10 +151,10 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def verified_links(grouped: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def verified_links(grouped: DataFrame, threshold: float, candidates) -> DataFrame:
     """u, v, links: for a node the number of documents that it is linked with (v null), and spanning edges (links null).
 
-    grouped: root, n, node, copies, sig, text.
+    grouped: root, n, node, copies, sig, text. candidates(sig, a, b) gives the pairs to verify.
     """
 
     def sets(batches):
@@ -179,7 +179,7 @@ def verified_links(grouped: DataFrame, threshold: float, tolerance: float) -> Da
             left, right = [], []
             for a, b in pairs_within(starts, len(node), *(table.column(c).to_numpy() for c in ("chunk", "block_i", "block_j"))):
                 ok = node[a] != node[b]
-                a, b = prune(sig, a[ok], b[ok], threshold, tolerance)
+                a, b = candidates(sig, a[ok], b[ok])
                 cuts = np.append(np.searchsorted(a, starts), len(a)) if len(a) else np.zeros(1, np.int64)
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     if x < y:
@@ -216,11 +216,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
     chosen = write_table(nodes.join(sized, "node").select("node", "root", "n", "digest", "copies", "least", "sig"), "grouped")
     # One document brings the text of each node; with a repeated id and text there may be more, which the verification ignores.
-    keys = chosen.select("digest", "least")
-    if keys.count() <= BROADCAST_NODES:
-        keys = F.broadcast(keys)
-    texts = rows.join(keys.withColumnRenamed("least", "doc_id_least"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("doc_id_least"))).select("digest", "text").dropDuplicates(["digest"])
-    links = write_table(verified_links(chosen.drop("least").join(texts, "digest"), threshold, tolerance), "links")
+    keys = broadcast_if(chosen.select("digest", F.col("least").alias("doc_id_least")), BROADCAST_NODES)
+    texts = rows.join(keys, "digest").filter(F.col("doc_id").eqNullSafe(F.col("doc_id_least"))).select("digest", "text").dropDuplicates(["digest"])
+    likely = functools.partial(prune, threshold=threshold, tolerance=tolerance)
+    links = write_table(verified_links(chosen.drop("least").join(texts, "digest"), threshold, likely), "links")
 
     roots = connected_components(links.filter("v IS NOT NULL").select("u", "v"))
     counts = links.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))

@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duespark.llm.scratch import broadcast_if
+
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -105,8 +107,7 @@ def _buckets(tokens: Column) -> Column:
 def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Millionths of log(trusted / raw) for each bucket. trusted: the ids of trusted documents, one column, without nulls."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).dropna().distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = broadcast_if(ids, BROADCAST_IDS)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = df.join(ids, df["doc_id"] == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), ngrams_of(F.col("text")).alias("tokens"))
     df = df.select("good", F.size("tokens").alias("n"), F.explode(_buckets(F.col("tokens"))).alias("bucket"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duespark.llm import fingerprints, ngram_join, packing, quality_rules, sentencepiece_bpe, warc
+from duespark.llm import fingerprints, ngram_join, packing, quality_rules, sentencepiece_bpe, substring_dedup, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,10 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "kept_in")
+
+
 def op6_warc(spark, sf_dir):
     archive = warc.round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return archive.select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to", "intact")
@@ -47,6 +51,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -33,3 +34,8 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows; otherwise as it is, for a shuffled join. df should be a written table."""
+    return F.broadcast(df) if df.count() <= most else df
