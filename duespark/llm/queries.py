@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duespark.llm import fingerprints, ngram_join, packing, quality_rules, sentencepiece_bpe, substring_dedup, warc
+from duespark.llm import fingerprints, ngram_join, packing, quality_rules, secrets, sentencepiece_bpe, substring_dedup, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,11 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op2_secret_scan(spark, sf_dir):
+    found = secrets.scan(_read(spark, sf_dir, "documents"), secrets.train(spark))
+    return found.filter("secret").select("doc_id", "start", "length", F.col("candidate").alias("secret"), "score")
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "kept_in")
 
@@ -51,6 +56,7 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_secret_scan": op2_secret_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
