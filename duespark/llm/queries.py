@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duespark.llm import fingerprints, ngram_join, packing, quality, quality_rules, secrets, sentencepiece_bpe, substring_dedup, warc
+from duespark.llm import fingerprints, lm_score, ngram_join, packing, quality, quality_rules, secrets, sentencepiece_bpe, substring_dedup, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,10 @@ def op2_secret_scan(spark, sf_dir):
     return found.filter("secret").select("doc_id", "start", "length", F.col("candidate").alias("secret"), "score")
 
 
+def op3_lm_score(spark, sf_dir):
+    return lm_score.score(_read(spark, sf_dir, "documents"), BYTE_BPE, lambda doc_id: quality.fold(doc_id, 7) == 2)
+
+
 def op4_quality_classifier(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").filter(quality.fold(F.col("doc_id"), 4) != 2).select("doc_id", F.col("quality").alias("label"))
@@ -64,6 +68,7 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scan": op2_secret_scan,
+    "op3_lm_score": op3_lm_score,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
