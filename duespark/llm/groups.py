@@ -77,7 +77,7 @@ def dealt(rows: DataFrame, key: str, count: str, most: int, node: str = "node")
     return df.withColumns({"block_i": F.least("chunk", "other"), "block_j": F.greatest("chunk", "other")}).drop("other")
 
 
-def pairs_within(starts: np.ndarray, total: int, chunk: np.ndarray, block_i: np.ndarray, block_j: np.ndarray, most: int = 400_000):
+def pairs_within(starts: np.ndarray, total: int, chunk: np.ndarray, block_i: np.ndarray, block_j: np.ndarray, most: int = 100_000):
     """Index pairs (a < b) of rows of the same group, in arrays of about `most` pairs; of a pair of chunks only the pairs across."""
     sizes = np.diff(np.append(starts, total))
     for m in np.unique(sizes):

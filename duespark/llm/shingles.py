@@ -7,7 +7,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Characters of text handled at once; one longer text is handled alone.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = 0x9E3779B97F4A7C15
