@@ -1,25 +1,72 @@
-"""A corpus pipeline of the training-data operators; each stage works on what the one before kept."""
+"""A corpus pipeline of the training-data operators; each stage works on all that the one before kept.
 
-from duespark.llm import packing
+Quality classifier (rejected documents go), n-gram Jaccard join (one document of each group of
+near duplicates stays), substring dedup (repeated paragraphs go), secret scan (secrets are
+masked), packing (pieces of fixed sequences). All but the last return the columns of documents;
+n_chars is counted anew where the text changes.
+"""
+
+from pyspark.sql import functions as F
+
+from duespark.llm import ngram_join, packing, quality, secrets, substring_dedup
 from duespark.llm.queries import BYTE_BPE
-from duespark.llm.scratch import write_table
+from duespark.llm.scratch import broadcast_if, write_table
 
+#: Ids of kept or dropped documents up to this number are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-def pack(spark, docs, sf_dir):
-    from pyspark.sql import functions as F
 
+def quality_classifier(spark, docs, sf_dir):
+    """Keeps documents of a score of 0.7 or more; trained on the labelled documents of the input."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    fitted = quality.train(docs, labels)
+    scored = quality.score_rows(docs, fitted)
+    return scored.filter("score >= 0.7").select(*COLUMNS)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keeps the document of the least id of each class of near duplicates."""
+    classes = write_table(ngram_join.near_duplicates(docs), "classes")
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    gone = broadcast_if(write_table(gone, "gone"), BROADCAST_IDS)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Removes paragraphs of which an earlier document has one like it."""
+    cut = substring_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Masks secrets; all documents stay."""
+    masked = secrets.redact(docs, secrets.train(spark))
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of sequences of 2048 ids."""
     pieces = packing.pack(docs, BYTE_BPE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("secret scan", secret_scan),
+    ("packing", pack),
+]
+#: Models, MinHash and token ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The packed pieces of sf_dir's documents; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = write_table(docs, name)
+            docs = write_table(docs, name.replace(" ", "-"))
     return docs

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from duespark.llm.shingles import mix, span_hashes, text_chunks, words
 
@@ -150,12 +151,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def score(docs: DataFrame, fitted: SubwordClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: the probability of label 1 for every document."""
+    return score_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fitted, "text").drop("text")
+
+
+def score_rows(docs: DataFrame, fitted: SubwordClassifier, text_col: str = "text") -> DataFrame:
+    """docs with a score, of which a column of that name is replaced. The rows keep their order and meet no shuffle."""
+    docs = docs.drop("score")
+    text_at = docs.columns.index(text_col)
     parts = docs.sparkSession.sparkContext.broadcast(fitted.collapsed())
 
     def run(batches):
         value, bias = parts.value
         for batch in batches:
-            for first, data, offsets in text_chunks(batch.column(1)):
+            for first, data, offsets in text_chunks(batch.column(text_at).fill_null("")):
                 n = len(offsets) - 1
                 start, end, row = words(data, offsets)
                 logit = np.full(n, bias)
@@ -166,11 +174,10 @@ def score(docs: DataFrame, fitted: SubwordClassifier, id_col: str = "doc_id", te
                     total = np.add.reduceat(value[buckets], at)
                     size = np.diff(np.append(at, len(buckets))).astype(np.float64)
                     logit += (np.bincount(row, total[which], n) + np.bincount(of, value[pairs], n)) / (NEUTRAL + np.bincount(row, size[which], n) + np.bincount(of, minlength=n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(1 / (1 + np.exp(-logit)))], names=["doc_id", "score"])
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-logit)))], names=[*batch.schema.names, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def fold(doc_id, folds: int):
