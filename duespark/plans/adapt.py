@@ -23,7 +23,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("invoice_id"),
         (F.col("o_custkey") % 5).alias("tenant_id"),
         F.when(key % 97 != 0, F.col("o_custkey")).alias("vendor_id"),
-        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
         minor(F.col("o_totalprice")).alias("total_minor"),
         status.alias("status"),
         F.concat(F.lit("INV-"), key.cast("string")).alias("number"),
@@ -49,7 +49,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("bigint").alias("line"),
         F.col("l_suppkey").alias("vendor_id"),
         F.concat(F.lit("194"), F.col("l_returnflag")).alias("section"),
-        F.col("l_shipdate").alias("invoice_date"),
+        F.col("l_shipdate").cast("timestamp").alias("invoice_date"),
         minor(F.col("l_extendedprice")).alias("base_minor"),
         F.floor((minor(F.col("l_extendedprice")) * 100 + 5000) / 10000).cast("bigint").alias("tax_minor"),
     )
@@ -62,7 +62,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("txn_id"),
         (F.col("o_custkey") % 5).alias("tenant_id"),
         (minor(F.col("o_totalprice")) + (key % 11 - 5) * 13).alias("debit_minor"),
-        F.timestamp_micros(F.unix_micros("o_orderdate") + (key % 35) * 86_400_000_000).alias("paid_at"),
+        F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (key % 35) * 86_400_000_000).alias("paid_at"),
         F.when(key % 2 == 0, F.concat(F.lit("NEFT payment inv-"), key.cast("string"), F.lit(" to Customer"))).otherwise(F.lit("UPI transfer")).alias("description"),
     )
     return df

@@ -76,7 +76,7 @@ def reason_counts(inv: DataFrame) -> DataFrame:
 def tenant_usage(inv: DataFrame) -> DataFrame:
     """AG-13."""
     failed = F.col("status").isin("FAILED_OCR", "FAILED_PARSE")
-    return inv.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("total"), count_of(*PAID).alias("approved"), F.count_if(failed).cast("bigint").alias("failed"), amount(*PAID).alias("approved_minor"), F.max("created_at").alias("last_created"))
+    return inv.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("total"), count_of(*PAID).alias("approved"), F.count_if(failed).cast("bigint").alias("failed"), amount(*PAID).alias("approved_minor"), F.max("created_at").cast("timestamp_ntz").alias("last_created"))
 
 
 def tenant_overview(inv: DataFrame, ven: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def liability(ent: DataFrame) -> DataFrame:
     """AG-17..19, AG-21: by section, vendor and section, quarter and section, in one pass over grouping sets."""
     df = ent.select(fiscal_year(F.col("invoice_date")).alias("fy"), fiscal_quarter(F.col("invoice_date")).alias("quarter"), "section", "vendor_id", "base_minor", "tax_minor", "invoice_date")
     df.createOrReplaceTempView("duespark_liability")
-    return df.sparkSession.sql("""SELECT fy, section, vendor_id, quarter, CAST(sum(base_minor) AS BIGINT) AS base_minor, CAST(sum(tax_minor) AS BIGINT) AS tax_minor, count(*) AS n, min(invoice_date) AS first_date
+    return df.sparkSession.sql("""SELECT fy, section, vendor_id, quarter, CAST(sum(base_minor) AS BIGINT) AS base_minor, CAST(sum(tax_minor) AS BIGINT) AS tax_minor, count(*) AS n, CAST(min(invoice_date) AS TIMESTAMP_NTZ) AS first_date
         FROM duespark_liability GROUP BY GROUPING SETS ((fy, section), (fy, vendor_id, section), (fy, quarter, section))""")
 
 
