@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duespark.plans import overview
+from duespark.plans import accounting, overview
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "ag01_kpi_facet"
 
-for module in (overview,):
+for module in (overview, accounting):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
