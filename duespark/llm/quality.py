@@ -142,10 +142,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).dropna().orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
     # The sample's bound is the bound of this broadcast.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    found = _features(texts).toArrow()
-    columns = [found.column(name).to_pylist() for name in ("label", "buckets", "counts")]
-    rows = [(y, np.array(b, np.int64), np.array(c, np.float32)) for y, b, c in zip(*columns, strict=True)]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist()[:50], r[2].tolist()[:50]))
+    rows = []
+    for batch in _features(texts).toArrow().to_batches():
+        # Views of Arrow's buffers: no feature becomes a Python object.
+        lists = [batch.column(k) for k in (1, 2)]
+        ends = lists[0].offsets.to_numpy()
+        buckets, counts = (x.values.to_numpy() for x in lists)
+        rows += [(y, buckets[lo:hi], counts[lo:hi]) for y, lo, hi in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True)]
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1][:50].tobytes(), r[2][:50].tobytes()))
     return SubwordClassifier().fit(rows)
 
 
