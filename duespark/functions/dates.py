@@ -49,12 +49,12 @@ def voucher_date(first: Column, second: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """ISO prefix; d/m/y with / - or .; day, month's name, year; null if none fits."""
     t = F.trim(text)
-    iso = F.try_to_date(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd"))
+    iso = F.try_to_date(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
     numeric = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$"
     part = lambda p, k: F.regexp_extract(t, p, k)
     full = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    dmy = F.when(t.rlike(numeric), F.try_to_date(F.concat_ws("-", full(part(numeric, 3)), F.lpad(part(numeric, 2), 2, "0"), F.lpad(part(numeric, 1), 2, "0")), F.lit("yyyy-MM-dd")))
+    dmy = F.when(t.rlike(numeric), F.try_to_date(F.concat_ws("-", full(part(numeric, 3)), F.lpad(part(numeric, 2), 2, "0"), F.lpad(part(numeric, 1), 2, "0")), "yyyy-MM-dd"))
     named = r"^(\d{1,2})[\s\-.]*([A-Za-z]{3})[A-Za-z]*[\s\-.,]*(\d{4}|\d{2})$"
     month = F.array_position(F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()]), F.lower(part(named, 2)))
-    by_name = F.when(t.rlike(named) & (month > 0), F.try_to_date(F.concat_ws("-", full(part(named, 3)), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(named, 1), 2, "0")), F.lit("yyyy-MM-dd")))
+    by_name = F.when(t.rlike(named) & (month > 0), F.try_to_date(F.concat_ws("-", full(part(named, 3)), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(named, 1), 2, "0")), "yyyy-MM-dd"))
     return F.coalesce(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), iso), dmy, by_name)

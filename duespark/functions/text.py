@@ -27,7 +27,7 @@ def contains_ignoring_case(text: Column, part: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(text, r"[\r\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def long_words(text: Column) -> Column:
@@ -79,7 +79,7 @@ def csv_escape(text: Column) -> Column:
 
 def unique_texts(values: Column) -> Column:
     """Trimmed, not empty, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def first_not_empty(*values: Column) -> Column:
