@@ -38,7 +38,7 @@ def to_major_text(minor: Column, digits: int = 2) -> Column:
 
 def share_bps(base: Column, bps: Column) -> Column:
     """base * bps / 10000, rounded."""
-    return F.floor((base * bps + 5000) / 10000).cast("bigint")
+    return F.floor((base.cast("bigint") * bps.cast("bigint") + 5000) / 10000).cast("bigint")
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
