@@ -1,8 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a run of at least 16 key characters with a digit in it. Its features are its
-length, its character classes and their transitions, the share of it that a word list covers,
-signs of a path, and the words next to it. A random forest, trained in numpy on labelled
+A candidate is a run of at least 16 key characters with a digit in it or a known start. Its
+features are its length, its character classes and their transitions, the share of it that a
+word list covers, known starts of keys, signs of a path, and the words next to it. A random forest, trained in numpy on labelled
 findings, is written out as nested conditions over those features, so scanning stays in SQL
 expressions, one row a document, without a shuffle.
 
@@ -24,7 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: How keys of well-known services start.
+STARTS = "AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|glpat-"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|(?:{STARTS}))[A-Za-z0-9+/_-]{{16,}}={{0,2}}"
 #: Characters of text before and after a candidate that its features see.
 CONTEXT = 60
 MASK = "[SECRET]"
@@ -60,6 +62,7 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
         "uuid": candidate.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"),
         "longest_letters": F.array_max(F.transform(F.regexp_extract_all(candidate, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x))),
         "words": (n - F.length(F.regexp_replace(F.lower(candidate), "|".join(WORD_LIST), ""))) / n,
+        "known_start": candidate.rlike(f"^({STARTS})"),
         "path": candidate.rlike("[a-z]/[a-z]") | near.rlike(r"(https?:|[\w.]/|\\)[^\s\"']*$") | F.substring(after, 1, 8).rlike(r"^(/|\.[a-z])"),
         "assigned": near.rlike(r"[=:]>?\s*[\"'`]?$"),
         "quoted": near.rlike("[\"'`]$") & F.substring(after, 1, 1).rlike("[\"'`]"),
@@ -69,7 +72,7 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
     return {name: F.coalesce(x.cast("double"), F.lit(0.0)) for name, x in found.items()}
 
 
-NAMES = tuple("length distinct digits upper lower signs kind_changes case_changes hex uuid longest_letters words path assigned quoted key_word plain_word".split())
+NAMES = tuple("length distinct digits upper lower signs kind_changes case_changes hex uuid longest_letters words known_start path assigned quoted key_word plain_word".split())
 
 
 def labelled_findings(n: int = 1600, seed: int = 3) -> list[dict]:
@@ -83,12 +86,18 @@ def labelled_findings(n: int = 1600, seed: int = 3) -> list[dict]:
     for k in range(n):
         secret = k % 2 == 0
         if secret:
-            value = pick([lambda: some(hexa, pick([32, 40, 64])), lambda: some(alnum, int(draw.integers(20, 64))), lambda: some(alnum + "+/", 40) + pick(["", "=", "=="]), lambda: pick(["sk_live_", "ghp_", "AKIA", "xoxb-"]) + some(alnum, 32), lambda: some(alnum + "_-", 32)])()
-            if not any(c.isdigit() for c in value):
-                value = value[:8] + some(string.digits, 2) + value[8:]
+            quote, known = pick(['"', '"', "'", "", ""]), int(draw.integers(3)) == 0
+            if known:
+                value = pick([lambda: pick(["AKIA", "ASIA"]) + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36), lambda: pick(["sk_live_", "sk-"]) + some(alnum, 32), lambda: "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24), lambda: "AIza" + some(alnum + "_-", 35)])()
+            else:
+                value = pick([lambda: some(hexa, pick([16, 18, 20, 24, 32, 40, 64])), lambda: some(alnum, int(draw.integers(16, 64))), lambda: some(alnum + "+/", 40) + pick(["", "=", "=="]), lambda: some(alnum + "_-", 32)])()
+                if not any(c.isdigit() for c in value):
+                    value = value[:8] + some(string.digits, 2) + value[8:]
             name = pick(["token", "secret", "password", "api_key", "apikey", "API-KEY", "access_key", "auth_token", "client_secret", "credential", "Bearer", "private_key", "SECRET_KEY", "passwd"])
-            quote = pick(['"', '"', "'", ""])
-            before, after = f"{prose()} {name}{pick([' = ', '=', ': ', '": ', ' => ', ' ', ' is '])}{quote}", f"{quote}{pick(['', ' ', chr(10), ';', ','])}{prose()}"
+            lead = f"{name}{pick([' = ', '=', ': ', chr(34) + ': ', ' => ', ' ', ' is '])}"
+            # A key with a known start is one wherever it stands.
+            lead, quote = pick([("", ""), (lead, quote)]) if known else (lead, quote)
+            before, after = f"{prose()} {lead}{quote}", f"{quote}{pick(['', ' ', chr(10), ';', ','])}{prose()}"
         else:
             kind = int(draw.integers(8))
             lead, quote = "", pick(["", "", '"'])
