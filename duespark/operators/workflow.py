@@ -34,7 +34,7 @@ def step_findings(steps: DataFrame, roles: DataFrame) -> DataFrame:
     holders = roles.groupBy("tenant_id", "role").agg(F.count(F.lit(1)).alias("holders"))
     df = steps.join(holders, ["tenant_id", "role"], "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
     users = F.coalesce(F.size("users"), F.lit(0))
-    found = F.array_compact(F.array(F.when((F.col("kind") == "role") & (F.col("holders") == 0), F.lit("no approver")), F.when((F.col("kind") == "role") & (F.col("holders") < F.col("needed")), F.lit("too few approvers")), F.when((F.col("kind") == "users") & (users < F.col("needed")), F.lit("too few users"))))
+    found = F.array_compact(F.array(F.when((F.col("kind") == "role") & (F.col("holders") == 0), F.lit("no approver")), F.when((F.col("kind") == "role") & (F.col("holders") > 0) & (F.col("holders") < F.col("needed")), F.lit("too few approvers")), F.when((F.col("kind") == "users") & (users < F.col("needed")), F.lit("too few users"))))
     return df.select("workflow_id", "step_no", found.alias("findings"))
 
 
