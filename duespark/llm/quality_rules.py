@@ -125,10 +125,11 @@ def judge(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD, id_c
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
     df = base_counts(docs, id_col, text_col)
     tokens = F.col("tokens")
-    one = F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: a + F.get(table, bucket_of(t)))
-    two = F.aggregate(F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.get(table, bucket_of(t, F.get(tokens, i + 1)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    # A token's own ratio and that of the pair it begins, in one pass.
+    pair = lambda t, i: F.coalesce(F.get(table, F.when(i + 1 < F.size(tokens), bucket_of(t, F.get(tokens, i + 1)))), F.lit(0))
+    total = F.aggregate(F.transform(tokens, lambda t, i: F.get(table, bucket_of(t)) + pair(t, i)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     grams = F.greatest(2 * F.size(tokens) - 1, F.lit(1))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = df.select(*counts, ((one + two) / (grams * F.lit(1e6))).alias("score"))
+    df = df.select(*counts, (total / (grams * F.lit(1e6))).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.select(*counts, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
