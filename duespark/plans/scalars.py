@@ -136,7 +136,7 @@ ORACLES = {
     "str_strings": f"""SELECT c_custkey, trim(regexp_replace(lower({_name}), '\\s+', ' ', 'g')) AS key, 2 AS n_lines,
   CAST(len(list_intersect({_words(_name)}, {_words("'pvt co limited'")})) AS INTEGER) AS overlap, starts_with(lower(c_mktsegment), 'build') AS prefix, contains(lower({_name}), 'customer#0') AS contains,
   lower(c_mktsegment) || '.com' AS domain, replace({_name}, '&', '&amp;') AS xml, '"' || {_name} || ', ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) AS csv, sha256(c_name) AS sha256, left(sha1(c_name), 24) AS sha1_prefix,
-  sha256(length(c_name) || ':' || c_name || length(c_mktsegment) || ':' || c_mktsegment) AS guid, c_mktsegment AS first, len(string_split_regex(trim({_name}), '\\s+')) AS tokens,
+  sha256(length(c_name) || ':' || c_name || length(c_mktsegment) || ':' || c_mktsegment) AS guid, c_mktsegment AS first, CAST(len(string_split_regex(trim({_name}), '\\s+')) AS INTEGER) AS tokens,
   CAST(CAST('0x' || left(sha256(c_name || ':flag'), 8) AS BIGINT) % 100 AS INTEGER) AS bucket FROM customer""",
     "str08_str09_identifiers": f"SELECT c_custkey, c_custkey % 5 <> 0 AS valid, CASE WHEN c_custkey % 5 <> 0 THEN {_pan} END AS pan, CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'C' ELSE 'P' END END AS holder FROM customer",
     "mth_numbers": f"""SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 2 END AS BIGINT) AS digits,
