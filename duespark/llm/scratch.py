@@ -1,7 +1,9 @@
 """Written intermediate tables, in the folder that the whole cluster shares.
 
 A written table cuts the lineage: when an executor is lost, its later tasks read
-the table again, and nothing before it is computed anew.
+the table again, and nothing before it is computed anew. The tables of one
+application lie in one folder, duespark/<application id>, which can be deleted as
+a whole once its results are stored.
 """
 
 import tempfile
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/duespark/{uuid.uuid4().hex}-{label}"
+    return f"{shared_dir(spark)}/duespark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:

@@ -95,3 +95,26 @@ def test_removed_paragraphs(odd):
 def test_empty_tables(empty):
     assert ngram_join.near_duplicates(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_plans_have_no_product_of_rows(odd, monkeypatch):
+    """No step joins every row with every other."""
+    plans = []
+    keep = ngram_join.write_table
+    for module in (ngram_join, substring_dedup, groups):
+        monkeypatch.setattr(module, "write_table", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, label))[1])
+    ngram_join.near_duplicates(odd).count()
+    substring_dedup.remove_repeats(odd).count()
+    assert len(plans) > 10 and not any("Cartesian" in p or "NestedLoop" in p for p in plans)
+
+
+def test_scratch_follows_the_session(spark):
+    from duespark.llm import scratch
+
+    class Named:
+        conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+        sparkContext = spark.sparkContext
+
+    assert scratch.shared_dir(Named) == "hdfs://x/y"
+    assert scratch.fresh_path(Named, "t").startswith("hdfs://x/y/duespark/")
+    assert scratch.shared_dir(spark) == scratch.shared_dir(spark)
