@@ -26,11 +26,14 @@ def quality_classifier(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the document of the least id of each class of near duplicates."""
+    """Keeps the document of the least id of each class of near duplicates; of rows alike in id and text, one."""
     classes = write_table(ngram_join.near_duplicates(docs), "classes")
     gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
     gone = broadcast_if(write_table(gone, "gone"), BROADCAST_IDS)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Only repeated ids make the texts worth a shuffle.
+    repeated = classes.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark, docs, sf_dir):

@@ -228,9 +228,3 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     least = classed.groupBy("root").agg(F.min("least").alias("class_id"))
     facts = classed.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return known.select("doc_id", "digest").join(facts, "digest").select("doc_id", "digest", "class_id", "n_links")
-
-
-def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is the least of their class; of rows with that same id, one for each text."""
-    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(firsts, docs[id_col].eqNullSafe(F.col("first_id")), "left_semi")

@@ -151,3 +151,11 @@ def test_pipeline_stages(spark):
     assert kept[0] > kept[1] >= kept[2] == kept[3] == kept[4]
     assert before.filter("text LIKE '%token = \"%'").filter("text NOT LIKE '%[SECRET]%'").count() == 0
     assert after.select("doc_id").distinct().count() == kept[4]
+
+
+def test_one_document_of_each_group_stays(spark, odd):
+    """Near copies and repeated rows go; an id that no class has as its least goes too."""
+    docs = odd.select(*corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, None).collect()
+    ids = [r.doc_id for r in kept if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and {0, 1, 2, 3, 5, 20, 28, 29, 30, 31, 33} <= set(ids) and not {25, 26, 21, 24} & set(ids)
