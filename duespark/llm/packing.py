@@ -13,6 +13,7 @@ than the id and the text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -36,16 +37,23 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         shown = _shown_bytes()
         ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.dtype("<u2") if self.full.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.size = 1 + max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])))
+        self.width = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
+
+    @functools.cached_property
+    def full(self):
+        """The library's own tokenizer, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
@@ -107,9 +115,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     offsets = docs.sparkSession.sparkContext.broadcast(global_offsets(tokens))
 
     def cut(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
             named = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             n = named["n"].to_numpy()
             base = np.fromiter((offsets.value[p] for p in named["part"].to_pylist()), np.int64, len(n))
