@@ -37,10 +37,18 @@ def ledger_lines(rows: DataFrame) -> DataFrame:
     return rows.select("invoice_id", F.posexplode(lines).alias("position", "l")).select("invoice_id", F.col("position").cast("bigint").alias("position"), "l.ledger", "l.minor")
 
 
-def batches(rows: DataFrame, partition: list[str], order: list[str], size: int = BATCH) -> DataFrame:
-    """SNK-04: numbers batches of `size` rows within each partition."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+def batches(rows: DataFrame, partition: list[str], order: str, size: int = BATCH, width: int = 100_000) -> DataFrame:
+    """SNK-04: numbers batches of `size` rows within each partition, by a whole-number key.
+
+    Rows are numbered within ranges of `width` keys and the ranges' counts are summed up before them,
+    so a partition with very many rows isn't sorted in one task. Partition columns aren't null.
+    """
+    df = rows.withColumn("__range", F.floor(F.col(order) / width))
+    earlier = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = df.groupBy(*partition, "__range").agg(F.count(F.lit(1)).alias("n")).select(*partition, "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*partition, "__range").orderBy(order)
+    numbered = df.join(before, [*partition, "__range"]).withColumn("batch", F.floor((F.col("__before") + F.row_number().over(within) - 1) / size).cast("bigint"))
+    return numbered.select(*rows.columns, "batch")
 
 
 def csv_rows(rows: DataFrame, columns: dict[str, str], money: set[str] = frozenset()) -> DataFrame:

@@ -117,7 +117,7 @@ def voucher_lines(spark, d):
 
 def voucher_batches(spark, d):
     """SNK-04."""
-    return vouchers.batches(invoices(spark, d).filter("status = 'APPROVED'").select("tenant_id", "invoice_id"), ["tenant_id"], ["invoice_id"])
+    return vouchers.batches(invoices(spark, d).filter("status = 'APPROVED'").select("tenant_id", "invoice_id"), ["tenant_id"], "invoice_id", width=500)
 
 
 def csv_export(spark, d):
