@@ -47,13 +47,12 @@ def sample_code(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(((log_a + F.lit(128.0)) * F.lit(2.0**23)).cast("bigint"), 32).bitwiseOR(F.hash(term, t).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def _runs(df: DataFrame, hashes: str, out: str) -> DataFrame:
-    """Adds array<struct<term, log_weight>> for a sorted array of word hashes."""
-    h = F.col(hashes)
-    starts = F.filter(F.transform(h, lambda x, k: F.when((k == 0) | (F.get(h, k - 1) != x), k)), lambda k: k.isNotNull())
-    df = df.withColumn(f"{out}_at", starts)
-    at = F.col(f"{out}_at")
-    return df.withColumn(out, F.transform(at, lambda s, k: F.struct(F.get(h, s).alias("term"), F.log((F.coalesce(F.get(at, k + 1), F.size(h)) - s).cast("double")).alias("log_weight"))))
+def _runs(df: DataFrame, hashes: str, which: int) -> DataFrame:
+    """Adds r<which>: array<struct<which, term, log_weight>> for a sorted array of word hashes."""
+    h, at = F.col(hashes), F.col(f"{hashes}_at")
+    df = df.withColumn(f"{hashes}_at", F.when(F.size(h) > 0, F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda k: (k == 0) | (F.get(h, k - 1) != F.get(h, k)))).otherwise(F.array().cast("array<int>")))
+    term = lambda s, k: F.struct(F.lit(which).alias("which"), F.get(h, s).alias("term"), F.log((F.coalesce(F.get(at, k + 1), F.size(h)) - s).cast("double")).alias("log_weight"))
+    return df.withColumn(f"r{which}", F.transform(at, term))
 
 
 def _ranges(df: DataFrame) -> tuple[list[int], Column]:
@@ -96,10 +95,9 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     df = df.select("*", n.cast("bigint").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("following", F.lit("")), F.lit(1), quarter)).alias("edited_text"))
     hashed = lambda text: F.sort_array(F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
     df = df.select("place", "ghost", "ord", "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited"), hashed("text").alias("h0"), hashed("edited_text").alias("h1"))
-    df = _runs(_runs(df, "h0", "r0"), "h1", "r1")
-    tagged = lambda r, which: F.transform(r, lambda x: F.struct(F.lit(which).alias("which"), x["term"].alias("term"), x["log_weight"].alias("log_weight")))
+    df = _runs(_runs(df, "h0", 0), "h1", 1)
     keys = ["place", "ghost", "ord", "doc_id", "n_chars", "edited"]
-    df = df.select(*keys, F.explode_outer(F.concat(tagged("r0", 0), tagged("r1", 1))).alias("x")).select(*keys, "x.which", "x.term", "x.log_weight")
+    df = df.select(*keys, F.explode_outer(F.concat("r0", "r1")).alias("x")).select(*keys, "x.which", "x.term", "x.log_weight")
     codes = [F.min(sample_code(F.col("term"), F.col("log_weight"), k)).alias(f"c{k}") for k in range(samples)]
     low = lambda k: F.coalesce(F.col(f"c{k}").bitwiseAND(F.lit(0xFFFF)).cast("int"), F.lit(0))
     df = df.groupBy(*keys, "which").agg(*codes).select(*keys, "which", F.array(*[low(k) for k in range(samples)]).alias("fp"))
