@@ -12,7 +12,7 @@ from duespark.llm import ngram_join, packing, quality, secrets, substring_dedup
 from duespark.llm.queries import BYTE_BPE
 from duespark.llm.scratch import broadcast_if, write_table
 
-#: Ids of kept or dropped documents up to this number are broadcast (16 bytes each); more are joined by a shuffle.
+#: Ids and digests of dropped documents up to this number are broadcast (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,14 +26,19 @@ def quality_classifier(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the document of the least id of each class of near duplicates; of rows alike in id and text, one."""
+    """Keeps one row of each class of near duplicates: of its least id (null if it has no other) the text of the least digest.
+
+    Equal ids with different texts are documents of their own; of rows alike in id and text, one stays.
+    """
     classes = write_table(ngram_join.near_duplicates(docs), "classes")
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    gone = classes.filter(~first).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
     gone = broadcast_if(write_table(gone, "gone"), BROADCAST_IDS)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
     # Only repeated ids make the texts worth a shuffle.
     repeated = classes.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "digest"])).select(*COLUMNS)
 
 
 def repeated_passages(spark, docs, sf_dir):

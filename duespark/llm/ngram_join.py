@@ -205,7 +205,7 @@ def verified_links(grouped: DataFrame, threshold: float, candidates) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, digest (MD5 of the text), class_id (the least id of its class), n_links (documents at the threshold or above, itself aside)."""
+    """One row for each document: doc_id, digest (MD5 of the text), class_id (the least id of its class), class_digest (the least digest of the texts of that id in the class), n_links (documents at the threshold or above, itself aside)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
     known = write_table(signatures(rows), "signatures")
@@ -225,6 +225,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     counts = links.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     classed = nodes.select("node", "digest", "copies", "least").join(roots, "node", "left").join(counts, "node", "left")
     classed = classed.withColumn("root", F.coalesce("root", "node"))
-    least = classed.groupBy("root").agg(F.min("least").alias("class_id"))
-    facts = classed.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return known.select("doc_id", "digest").join(facts, "digest").select("doc_id", "digest", "class_id", "n_links")
+    first = classed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("without"), "least", "digest")).alias("first"))
+    facts = classed.join(first, "root").select("digest", F.col("first.least").alias("class_id"), F.col("first.digest").alias("class_digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return known.select("doc_id", "digest").join(facts, "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links")
