@@ -84,6 +84,43 @@ def shingle_hashes(word_hashes: np.ndarray, row: np.ndarray, width: int = WIDTH)
     return mix(total[take]), row[take]
 
 
+def run_hashes(word_hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of width words within a row, and the places of their first words. Their cost doesn't grow with width."""
+    n = len(word_hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    power, inverse = _power_tables(len(word_hashes) + 1)
+    running = np.zeros(len(word_hashes) + 1, np.uint64)
+    np.cumsum(word_hashes * power[: len(word_hashes)], out=running[1:])
+    at = np.flatnonzero(row[:n] == row[width - 1 :])
+    return mix((running[at + width] - running[at]) * inverse[at]), at
+
+
+def anchors(hashes: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Which of the runs at consecutive places are the least of some `span` consecutive ones; equal least ones all are.
+
+    What is chosen depends on those runs alone, so equal stretches of `span` runs have an anchor in common.
+    """
+    n = len(at)
+    if n < span:
+        return np.zeros(n, bool)
+    low, width = hashes, 1
+    while width < span:
+        step = min(width, span - width)
+        low, width = np.minimum(low[:-step], low[step:]), width + step
+    # A stretch across rows skips places.
+    whole = at[span - 1 :] - at[: n - span + 1] == span - 1
+    high = np.zeros(n + span - 1, np.uint64)
+    high[span - 1 : n] = np.where(whole, low, np.uint64(0))
+    seen = np.zeros(n + span - 1, bool)
+    seen[span - 1 : n] = whole
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        high, seen, width = np.maximum(high[:-step], high[step:]), seen[:-step] | seen[step:], width + step
+    return seen & (high == hashes)
+
+
 class MinHash:
     """Signatures of `bands` times `rows` 32-bit minima."""
 

@@ -1,14 +1,22 @@
-"""Removal of paragraphs that repeat, exactly or nearly, within or across documents.
+"""Removal of paragraphs that repeat, exactly or nearly, and of passages that another document has word for word.
 
-A paragraph is a line of at least MIN_WORDS words. Equal paragraphs become one node. MinHash
-bands, tuned so that a pair at the threshold is missed with a probability of at most 1e-4,
-bring nodes together; nodes that share a band are verified by exact Jaccard similarity of
+A paragraph is a line of at least MIN_WORDS words, as many as a shingle has. Equal paragraphs become
+one node. MinHash bands, tuned so that a pair at the threshold is missed with a probability of at most
+1e-4, bring nodes together; nodes that share a band are verified by exact Jaccard similarity of
 their five-word shingles; components of the verified pairs are clusters. Of each cluster the
 occurrence with the least (id, line) stays and all others are removed.
 
+Of what is left, each run of PASSAGE words that a document with a lesser (id, MD5 of the text) has is
+removed, wherever the lines break and whatever surrounds it. Only runs around shared anchors are
+compared: of every SPAN consecutive runs of ANCHOR words the one of the least hash is an anchor, so two
+equal runs of PASSAGE words always share one. None is missed; two unequal runs are taken for
+one another only if their 64-bit hashes are equal.
+
 Defined results: a null text counts as empty and comes back empty; texts without repeats come
 back as they are; rows alike in id and text count as one document; of equal ids with different
 texts the text's MD5 decides the order; a null id sorts first; an empty table gives no rows.
+A passage inside a line that repeats within one document only stays, as does one embedded in a line that is
+like another but not equal to it. With a removed passage goes the white space after it, up to a line's end.
 Columns other than the id and the text pass through unread, whatever their names.
 """
 
@@ -22,10 +30,13 @@ from pyspark.sql import functions as F
 from duespark.llm.groups import connected_components
 from duespark.llm.ngram_join import verified_links
 from duespark.llm.scratch import broadcast_if, write_table
-from duespark.llm.shingles import MinHash, bands_for, row_starts, shingle_hashes, span_hashes, text_chunks, words
+from duespark.llm.shingles import WIDTH, MinHash, anchors, bands_for, row_starts, run_hashes, shingle_hashes, span_hashes, text_chunks, words
 
 THRESHOLD = 0.8
-MIN_WORDS = 45
+MIN_WORDS = WIDTH
+#: Words of a passage and of an anchor; SPAN runs of ANCHOR words make up a passage.
+PASSAGE, ANCHOR = 50, 25
+SPAN = PASSAGE - ANCHOR + 1
 BAND_ROWS = 4
 RECALL = 1 - 1e-4
 #: Rows of broadcast sides (clusters, candidate paragraphs, documents with removals), each of about 100 bytes.
@@ -107,13 +118,128 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.filter(~kept).select("doc_id", "doc_key", "line", F.col("keeper.doc_id").alias("kept_in"), "cluster").distinct()
 
 
+def each_text(batch: pa.RecordBatch):
+    """Chunks of a batch whose last column is the text: first row, bytes, offsets, and the words' start, end, row and hashes."""
+    for first, data, offsets in text_chunks(batch.column(batch.num_columns - 1)):
+        start, end, row = words(data, offsets)
+        yield first, data, offsets, start, end, row, span_hashes(data, start, end)
+
+
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """doc, places: of each document of rows (doc, doc_id, doc_key, text) the places of the anchors that another has too."""
+
+    def run(batches):
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            for first, _, _, _, _, row, hashes in each_text(batch.select(["doc", "text"])):
+                found, at = run_hashes(hashes, row, ANCHOR)
+                chosen = anchors(found, at, SPAN)
+                found, at = found[chosen], at[chosen]
+                of = row[at]
+                place = at - np.searchsorted(row, of)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(docs[first + of]), pa.array(place.astype(np.int32))], names=["anchor", "doc", "place"])
+
+    found = write_table(texts.select("doc", "text").mapInArrow(run, "anchor bigint, doc bigint, place int"), "anchors")
+    shared = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("anchor")
+    shared = broadcast_if(write_table(shared, "shared"), BROADCAST_ROWS)
+    return write_table(found.join(shared, "anchor").groupBy("doc").agg(F.collect_set("place").alias("places")), "places")
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """window, doc, doc_id, doc_key, place: the runs of PASSAGE words around the places of rows (doc, doc_id, doc_key, places, text)."""
+
+    def run(batches):
+        for batch in batches:
+            places = batch.column(3)
+            for first, _, offsets, _, _, row, hashes in each_text(batch):
+                n = len(offsets) - 1
+                begin = np.searchsorted(row, np.arange(n))
+                here = places.slice(first, n)
+                of = np.repeat(np.arange(n), here.value_lengths().to_numpy())
+                at = begin[of] + here.flatten().to_numpy()
+                near = np.zeros(len(row) + 1, np.int32)
+                # A window holds an anchor if it starts at it or at most SPAN - 1 words before it, in the same text.
+                np.add.at(near, np.maximum(at - SPAN + 1, begin[of]), 1)
+                np.add.at(near, at + 1, -1)
+                found, start = run_hashes(hashes, row, PASSAGE)
+                asked = np.cumsum(near)[start] > 0
+                found, start = found[asked], start[asked]
+                take = pa.array(row[start] + first)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(batch.column(k).take(take) for k in range(3)), pa.array((start - begin[row[start]]).astype(np.int32))], names=["window", "doc", "doc_id", "doc_key", "place"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc", "doc_id", "doc_key", "places", "text").mapInArrow(run, f"window bigint, doc bigint, doc_id {kind}, doc_key binary, place int")
+
+
+def pieces_left(text: str, spans: np.ndarray, removed: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """(first character, length) of what is left without the removed words, and the number of runs removed. spans: the words' bytes."""
+    data = text.encode()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])))
+    left, last = [], 0
+    for x, y in edge.reshape(-1, 2).tolist():
+        lo, hi = int(spans[x, 0]), int(spans[y, 0]) if y < len(spans) else len(data)
+        tail = data[spans[y - 1, 1] : hi]
+        if b"\n" in tail and lo and data[lo - 1 : lo] != b"\n":
+            hi = int(spans[y - 1, 1]) + tail.index(b"\n")
+        left.append((last, lo))
+        last = hi
+    left.append((last, len(data)))
+    chars = lambda k: len(data[:k].decode())
+    return [(chars(lo) + 1, chars(hi) - chars(lo)) for lo, hi in left if lo < hi], len(edge) // 2
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """doc_id, doc_key, pieces (of the text, to keep), n, kept_in: the documents of rows (doc_id, doc_key, text) that lose passages."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    texts = texts.withColumn("doc", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "doc_key"))
+    places = broadcast_if(shared_anchors(texts), BROADCAST_ROWS)
+    found = write_table(windows(texts.join(places, "doc")), "windows")
+    first = found.groupBy("window").agg(F.min(F.struct("doc_id", "doc_key")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
+    again = found.join(first.select("window", "first"), "window")
+    again = again.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_key") == F.col("first.doc_key"))))
+    gone = write_table(again.groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places"), F.collect_set(F.struct("first.doc_id")).alias("kept_in")), "passages")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for first, _, offsets, start, end, row, _ in each_text(batch):
+                for k in range(len(offsets) - 1):
+                    lo, hi = np.searchsorted(row, [k, k + 1])
+                    cover = np.zeros(hi - lo + 1, np.int32)
+                    at = np.array(batch.column(2)[first + k].as_py())
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + PASSAGE, -1)
+                    spans = np.stack([start[lo:hi], end[lo:hi]], 1) - offsets[k]
+                    out.append(pieces_left(batch.column(4)[first + k].as_py(), spans, np.cumsum(cover[:-1]) > 0))
+            pieces = pa.array([[{"at": x, "len": n} for x, n in p] for p, _ in out], pa.list_(pa.struct([("at", pa.int32()), ("len", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces, pa.array([n for _, n in out], pa.int32()), batch.column(3)], names=["doc_id", "doc_key", "pieces", "n", "kept_in"])
+
+    cut = texts.join(broadcast_if(gone, BROADCAST_ROWS), "doc").dropDuplicates(["doc"])
+    cut = cut.select("doc_id", "doc_key", "places", F.transform("kept_in", lambda x: x["doc_id"]).alias("kept_in"), "text")
+    return write_table(cut.mapInArrow(run, f"doc_id {kind}, doc_key binary, pieces array<struct<at: int, len: int>>, n int, kept_in array<{kind}>"), "pieces")
+
+
 def remove_repeats(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cut, and n_removed (paragraphs) and kept_in (ids of the documents that keep the removed ones)."""
+    """docs with the text cut, and n_removed (paragraphs and passages) and kept_in (ids of the documents that keep the removed ones)."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = repeats(plain, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).agg(F.collect_set("line").alias("__lines"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
+    cut = repeats(plain, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).agg(F.collect_set("line").alias("__lines"), F.array_sort(F.collect_set("kept_in")).alias("__kept"))
     cut = broadcast_if(write_table(cut, "removals"), BROADCAST_ROWS)
     text = F.coalesce(docs[text_col], F.lit(""))
-    joined = docs.drop("kept_in", "n_removed").join(cut, docs[id_col].eqNullSafe(F.col("__id")) & (F.unhex(F.md5(text)) == F.col("__key")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("__lines", k)), "\n")
-    out = joined.withColumns({text_col: F.when(F.col("__lines").isNull(), text).otherwise(rest), "n_removed": F.coalesce(F.size("__lines"), F.lit(0)), "kept_in": F.coalesce("kept_in", F.array().cast("array<bigint>"))})
-    return out.drop("__id", "__key", "__lines")
+    joined = docs.drop("kept_in", "n_removed").withColumn("__own", F.unhex(F.md5(text)))
+    joined = joined.join(cut, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains("__lines", k)), "\n")
+    joined = joined.withColumn(text_col, F.when(F.col("__lines").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(rest)).drop("__id", "__key")
+
+    lines = write_table(joined.select(F.col(id_col).alias("doc_id"), F.col("__own").alias("doc_key"), F.col(text_col).alias("text")), "lines-cut")
+    found = passages(lines).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.col("pieces").alias("__pieces"), F.col("n").alias("__n"), F.col("kept_in").alias("__too"))
+    joined = joined.join(broadcast_if(found, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+    rest = F.array_join(F.transform("__pieces", lambda p: F.substring(F.col(text_col), p["at"], p["len"])), "")
+    none = F.array().cast("array<bigint>")
+    out = joined.withColumns(
+        {
+            text_col: F.when(F.col("__pieces").isNull(), F.col(text_col)).otherwise(rest),
+            "n_removed": F.coalesce(F.size("__lines"), F.lit(0)) + F.coalesce("__n", F.lit(0)),
+            "kept_in": F.when(F.col("__too").isNull(), F.coalesce("__kept", none)).otherwise(F.array_sort(F.array_union(F.coalesce("__kept", none), "__too"))),
+        }
+    )
+    return out.drop("__id", "__key", "__lines", "__own", "__kept", "__pieces", "__n", "__too")

@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+from duespark.llm import substring_dedup
 
-from .conftest import SCHEMA, prose
+from .conftest import SCHEMA, prose, words
 
 
 def frame(spark, rows):
@@ -25,3 +26,34 @@ def test_only_the_row_judged_a_duplicate_goes(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows).select(*corpus_pipeline.COLUMNS), None).collect()]
     assert len(kept) == 5 and {(1, a), (7, b), (None, e)} <= set(kept)
     assert len({(8, c), (8, near(c))} & set(kept)) == 1 and len({(None, d), (None, near(d))} & set(kept)) == 1
+
+
+def test_passages_over_lines_and_inside_lines(spark):
+    """Planted passages of over 50 words as short lines, inside longer lines, and at the edges; short lines that repeat."""
+    draw = random.Random(2)
+    p, q, s, t = (prose(draw, n).split() for n in (60, 52, 50, 49))
+    short = prose(draw, 9)
+    own = lambda n: prose(draw, n)
+    lines = lambda w: "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7))
+    rows = [
+        (1, f"{own(80)} {' '.join(p)} {own(30)}\n{short}\n{own(20)}"),
+        (2, f"{own(20)}\n{lines(p)}\n{own(12)}"),
+        (3, f"{own(70)} {' '.join(p)}\n{own(90)} {' '.join(q)} {own(70)}"),
+        (4, f"{' '.join(q)} {own(100)} {' '.join(s)}"),
+        (5, f"{lines(s)} {own(40)} {' '.join(t)} {own(40)}\n{short}"),
+        (6, f"é日 {own(90)} {' '.join(t)} {own(90)} {' '.join(q)}"),
+        (None, own(60)),
+    ]
+    found = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    # Brute force over the lines that are left: every run of 50 words that an earlier document has.
+    seen, want = {}, {}
+    for i, text in sorted(rows[:-1]):
+        w = words(text if i != 5 else text.removesuffix("\n" + short))
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        gone = {x for k, r in enumerate(runs) if r in seen for x in range(k, k + 50)}
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+        for r in runs:
+            seen.setdefault(r, i)
+    assert {i: words(found[i].text) for i in want} == want and found[None].text == rows[-1][1]
+    assert {i: (r.n_removed, r.kept_in) for i, r in found.items()} == {None: (0, []), 1: (0, []), 2: (1, [1]), 3: (1, [1]), 4: (1, [3]), 5: (2, [1, 4]), 6: (1, [3])}
+    assert found[2].text == rows[1][1].replace(lines(p) + "\n", "") and found[6].text.endswith(" ") and found[6].text.startswith("é日 ")
