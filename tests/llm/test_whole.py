@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from duespark.llm import substring_dedup
+from duespark.llm import lm_score, substring_dedup
+from duespark.llm.queries import BYTE_BPE
 
 from .conftest import SCHEMA, prose, words
 
@@ -57,3 +58,20 @@ def test_passages_over_lines_and_inside_lines(spark):
     assert {i: words(found[i].text) for i in want} == want and found[None].text == rows[-1][1]
     assert {i: (r.n_removed, r.kept_in) for i, r in found.items()} == {None: (0, []), 1: (0, []), 2: (1, [1]), 3: (1, [1]), 4: (1, [3]), 5: (2, [1, 4]), 6: (1, [3])}
     assert found[2].text == rows[1][1].replace(lines(p) + "\n", "") and found[6].text.endswith(" ") and found[6].text.startswith("é日 ")
+
+
+def test_experts_learn_from_every_document(spark, monkeypatch):
+    """The expectation step's sums hold each id to learn from, whatever the ids of the documents."""
+    monkeypatch.setattr(lm_score, "STEPS", 20)
+    draw = random.Random(3)
+    learn = frame(spark, [(7, prose(draw, 40)) for _ in range(9)] + [(i, prose(draw, 40)) for i in (None, 1, 2, 3)]).select("doc_id", "text")
+    seen = []
+    settle = lm_score.AttentionModel.settle
+    monkeypatch.setattr(lm_score.AttentionModel, "settle", lambda self, *a: (seen.append(self.sums.sum()), settle(self, *a))[1])
+    fitted = []
+    fit = lm_score.AttentionModel.fit
+    monkeypatch.setattr(lm_score.AttentionModel, "fit", lambda self, *a: (fit(self, *a), fitted.append(self.sums.sum()))[0])
+    words = lm_score.write_table(lm_score.word_counts(learn), "words")
+    n_ids = lm_score.id_counts(words, BYTE_BPE).sum() + 13
+    lm_score.fit(learn, words, BYTE_BPE)
+    assert abs(seen[-1] - lm_score.FIT_WEIGHT * fitted[-1] - n_ids) < 1e-3 * n_ids
