@@ -60,6 +60,22 @@ def action_queue(spark, d):
     return n.join(top, "status").select("status", "n", F.array_join(F.transform("t", lambda x: x["invoice_id"]), ",").alias("newest"))
 
 
+def action_items(spark, d):
+    """AG-29: every invoice to act on, with its reason, severity and rank by recency within the reason.
+
+    The adapted tables tell failed and to-be-reviewed invoices only. Invoices are ranked within weeks, and
+    the weeks' counts are summed up, so that no reason is sorted in one task.
+    """
+    i = invoices(spark, d)
+    reason = F.when(F.col("status") == "FAILED_PARSE", "FailedOcr").when(F.col("status") == "NEEDS_REVIEW", "NeedsReview")
+    i = i.select("invoice_id", reason.alias("reason"), "created_at", F.floor(F.unix_micros("created_at") / (7 * 86_400_000_000)).alias("week")).filter("reason IS NOT NULL")
+    newer = Window.partitionBy("reason").orderBy(F.desc("week")).rowsBetween(Window.unboundedPreceding, -1)
+    before = i.groupBy("reason", "week").agg(F.count(F.lit(1)).alias("n")).select("reason", "week", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("before"))
+    within = Window.partitionBy("reason", "week").orderBy(F.desc("created_at"), "invoice_id")
+    severity = F.when(F.col("reason") == "FailedOcr", 100).otherwise(50)
+    return i.join(before, ["reason", "week"]).select("invoice_id", "reason", severity.alias("severity"), (F.col("before") + F.row_number().over(within)).alias("rank"))
+
+
 def grand_totals(spark, d):
     """AG-16, AG-34."""
     i = invoices(spark, d)
@@ -92,6 +108,7 @@ QUERIES = {
     "dml11_approval_states": approval_states,
     "dml12_org_archive": org_archive,
     "ag29_action_queue": action_queue,
+    "ag29_action_items": action_items,
     "ag16_grand_totals": grand_totals,
     "srt08_recent": recent,
     "e06_allocation_caps": allocation_caps,
@@ -113,6 +130,8 @@ m AS (SELECT invoice_id, min(step_no) FILTER (NOT done) AS current_step FROM x G
     "dml12_org_archive": "WITH n AS (SELECT o_custkey AS org_id, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT c_custkey AS org_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'archive' ELSE 'delete' END AS action FROM customer LEFT JOIN n ON c_custkey = org_id",
     "ag29_action_queue": f"""{ctes('invoices')}, r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY created_at DESC, invoice_id) AS k FROM invoices)
 SELECT status, count(*) AS n, string_agg(CAST(invoice_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 3) AS newest FROM r GROUP BY 1""",
+    "ag29_action_items": f"""{ctes('invoices')}, q AS (SELECT *, CASE status WHEN 'FAILED_PARSE' THEN 'FailedOcr' WHEN 'NEEDS_REVIEW' THEN 'NeedsReview' END AS reason FROM invoices)
+SELECT invoice_id, reason, CASE reason WHEN 'FailedOcr' THEN 100 ELSE 50 END AS severity, row_number() OVER (PARTITION BY reason ORDER BY created_at DESC, invoice_id) AS rank FROM q WHERE reason IS NOT NULL""",
     "ag16_grand_totals": f"{ctes('invoices')} SELECT count(*) AS n, CAST(sum(total_minor) AS BIGINT) AS minor, count(DISTINCT vendor_id) AS vendors, min(total_minor) AS least, max(total_minor) AS most FROM invoices",
     "srt08_recent": f"{ctes('invoices')} SELECT invoice_id, status FROM invoices WHERE created_at >= TIMESTAMP '2001-05-01' AND created_at < TIMESTAMP '2001-07-01' ORDER BY created_at DESC, invoice_id LIMIT 20",
     "e06_allocation_caps": f"{ctes('invoices')} SELECT vendor_id, CAST(sum(total_minor) - 200000000 AS BIGINT) AS over_minor FROM invoices WHERE vendor_id IS NOT NULL GROUP BY 1 HAVING sum(total_minor) > 200000000",
