@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duespark.llm.scratch import broadcast_if
+from duespark.llm.scratch import broadcast_if, write_table
 
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\f\r"
@@ -44,8 +44,13 @@ def ngrams_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
 
 
-def bucket_of(*terms: Column) -> Column:
-    return F.pmod(F.xxhash64(*terms), F.lit(BUCKETS)).cast("int")
+def bucket_of(*hashes: Column) -> Column:
+    """The bucket of a token's hash, or of the hashes of a pair: each token's text is hashed once."""
+    return F.pmod(F.xxhash64(*hashes), F.lit(BUCKETS)).cast("int")
+
+
+def hashes_of(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t))
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -58,7 +63,7 @@ def _covered(positions: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, tokens and the counts that the base rules need.
+    """doc_id, tokens (their hashes) and the counts that the base rules need.
 
     Windows found twice are adjacent once sorted: each window is one BIGINT, the upper bits of its hash
     over its position. Where two different windows share those bits, or positions need more of them, the
@@ -69,12 +74,13 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gram = lambda words, p: F.concat_ws(" ", F.get(words, p), F.get(words, p + 1), F.get(words, p + 2))
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = df.select("*", words_of(F.col("text")).alias("words"), ngrams_of(F.col("text")).alias("tokens"))
-    words, n = F.col("words"), F.size("words")
+    df = df.select("*", words_of(F.col("text")).alias("words"), hashes_of(ngrams_of(F.col("text"))).alias("tokens"))
+    df = df.select("*", hashes_of(F.col("words")).alias("hashes"))
+    words, hashes, n = F.col("words"), F.col("hashes"), F.size("words")
     df = df.select(
         "*",
         n.cast("bigint").alias("n_words"),
-        F.when(n >= 3, F.sort_array(F.transform(F.slice(words, 1, n - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))))).alias("windows"),
+        F.when(n >= 3, F.sort_array(F.transform(F.slice(hashes, 1, n - 2), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))))).alias("windows"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike(SPACE.replace("[", "[^"))).alias("lines"),
     )
     windows = F.col("windows")
@@ -107,10 +113,10 @@ def _buckets(tokens: Column) -> Column:
 def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Millionths of log(trusted / raw) for each bucket. trusted: the ids of trusted documents, one column, without nulls."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).dropna().distinct()
-    ids = broadcast_if(ids, BROADCAST_IDS)
+    ids = broadcast_if(write_table(ids, "trusted"), BROADCAST_IDS)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = df.join(ids, df["doc_id"] == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), ngrams_of(F.col("text")).alias("tokens"))
-    df = df.select("good", F.size("tokens").alias("n"), F.explode(_buckets(F.col("tokens"))).alias("bucket"))
+    df = df.join(ids, df["doc_id"] == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), hashes_of(ngrams_of(F.col("text"))).alias("tokens"))
+    df = df.select("good", F.explode(_buckets(F.col("tokens"))).alias("bucket"))
     counts = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
     raw, good = [1] * BUCKETS, [1] * BUCKETS
     for row in counts:
