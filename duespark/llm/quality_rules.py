@@ -107,7 +107,9 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _buckets(tokens: Column) -> Column:
-    return F.concat(F.transform(tokens, lambda t: bucket_of(t)), F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: bucket_of(t, F.get(tokens, i + 1))))
+    """The buckets of all tokens and pairs; the hashes are bound to a name, so that each token is hashed once."""
+    both = lambda h: F.concat(F.transform(h, lambda x: bucket_of(x)), F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: bucket_of(x, F.get(h, i + 1))))
+    return F.get(F.transform(F.array(hashes_of(tokens)), both), F.lit(0))
 
 
 def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
@@ -115,7 +117,7 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).dropna().distinct()
     ids = broadcast_if(write_table(ids, "trusted"), BROADCAST_IDS)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = df.join(ids, df["doc_id"] == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), hashes_of(ngrams_of(F.col("text"))).alias("tokens"))
+    df = df.join(ids, df["doc_id"] == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), ngrams_of(F.col("text")).alias("tokens"))
     df = df.select("good", F.explode(_buckets(F.col("tokens"))).alias("bucket"))
     counts = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
     raw, good = [1] * BUCKETS, [1] * BUCKETS
