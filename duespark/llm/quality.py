@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from duespark.llm.scratch import write_table
 from duespark.llm.shingles import mix, span_hashes, text_chunks, words
 
 BUCKETS = 1 << 17
@@ -99,6 +100,20 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, buckets array<int>, counts array<int>")
 
 
+def _packed(features: DataFrame) -> DataFrame:
+    """label, and buckets and counts as little-endian 32-bit bytes."""
+
+    def packed(lists: pa.ListArray) -> pa.Array:
+        ends = lists.offsets.to_numpy()
+        return pa.array([x.tobytes() for x in np.split(lists.values.to_numpy().astype("<i4"), ends)[1:-1]], pa.binary())
+
+    def run(batches):
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(batch.column(1)), packed(batch.column(2))], names=["label", "buckets", "counts"])
+
+    return features.mapInArrow(run, "label int, buckets binary, counts binary")
+
+
 class SubwordClassifier:
     """vectors (BUCKETS x DIM), output (DIM x 2) and bias (2)."""
 
@@ -142,13 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).dropna().orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
     # The sample's bound is the bound of this broadcast.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = []
-    for batch in _features(texts).toArrow().to_batches():
-        # Views of Arrow's buffers: no feature becomes a Python object.
-        lists = [batch.column(k) for k in (1, 2)]
-        ends = lists[0].offsets.to_numpy()
-        buckets, counts = (x.values.to_numpy() for x in lists)
-        rows += [(y, buckets[lo:hi], counts[lo:hi]) for y, lo, hi in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True)]
+    # From a written table the driver takes one partition after the other, as bytes: no feature becomes a Python object.
+    features = write_table(_packed(_features(texts)), "features")
+    rows = [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4")) for r in features.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1][:50].tobytes(), r[2][:50].tobytes()))
     return SubwordClassifier().fit(rows)
 
