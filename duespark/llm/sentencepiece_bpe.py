@@ -3,9 +3,12 @@
 A batch's distinct words become one flat array of symbols. In each round every word finds
 the smallest rank among its adjacent pairs (a segmented minimum), merges all leftmost
 non-overlapping pairs of that rank at once, and the array is compacted, until no word has a
-pair left. Merging all pairs of a rank at once equals merging them one by one unless the
-piece made is part of a pair of smaller rank; such pieces are found when the model is
-loaded, and of their pairs only the leftmost of each word is merged in a round.
+pair left. Merging all pairs of a rank at once equals merging them one by one unless a piece
+made forms a pair of smaller rank with its neighbour, which is then to be merged first: up to
+and including the leftmost such piece of a word, merges are done in the round, later ones wait.
+
+No merge reaches over two neighbouring characters that stand together in no piece, so words are
+cut there first, and a long word is no harder than as many short ones.
 
 Words can be taken apart at white space because no piece holds a space mark after another
 character; this is checked too.
@@ -83,6 +86,8 @@ class PieceModel:
                     for part in (a, b):
                         self.alone[part] |= order.get(part, -1) > order[i]
         self._pairs(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32), np.array(rank, np.int32))
+        beside = {symbols[p[k]] * self.n_symbols + symbols[p[k + 1]] for p in plain for k in range(len(p) - 1)}
+        self.beside = np.array(sorted(beside), np.int64)
         top = max(map(ord, self.char_symbol))
         self.by_code = np.full(top + 2, -1, np.int32)
         for c, s in self.char_symbol.items():
@@ -135,7 +140,13 @@ class PieceModel:
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         sym = self.by_code[np.minimum(codes, len(self.by_code) - 1)]
         char = codes.copy()  # of symbols that stay unknown
-        word = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        # Stretches that merges can't leave; what follows calls them words.
+        keys = sym[:-1].astype(np.int64) * self.n_symbols + sym[1:]
+        near = self.beside[np.minimum(np.searchsorted(self.beside, keys), len(self.beside) - 1)] == keys
+        joined = near & (sym[:-1] >= 0) & (sym[1:] >= 0) & (owner[1:] == owner[:-1])
+        word = np.concatenate([[0], np.cumsum(~joined)])
+        owner = owner[np.concatenate([[True], ~joined])]
         rank, made = self._ranks(sym, word)
         done = []
         while len(sym):
@@ -150,12 +161,10 @@ class PieceModel:
                 if not len(sym):
                     break
             chosen = rank == per
-            where = np.flatnonzero(chosen)
-            later = np.concatenate([[False], word[where[1:]] == word[where[:-1]]])
-            chosen[where[later & self.alone[made[where]]]] = False
             index = np.arange(len(sym))
             run = np.maximum.accumulate(np.where(chosen & ~np.concatenate([[False], chosen[:-1]]), index, 0))
             chosen &= (index - run) % 2 == 0
+            self._defer(chosen, sym, word, made, per)
             sym = np.where(chosen, made, sym)
             keep = ~np.concatenate([[False], chosen[:-1]])
             new = chosen[keep]
@@ -165,16 +174,32 @@ class PieceModel:
             last = at == len(sym) - 1
             nxt = np.where(last, at, at + 1)
             rank[at], made[at] = self.find(sym[at], np.where(last | (word[nxt] != word[at]), -1, sym[nxt]))
-        return self._gather(len(words), done)
+        word, sym, char = _in_order(done)
+        return self._gather(len(words), owner[word], sym, char)
+
+    def _defer(self, chosen, sym, word, made, per) -> None:
+        """Takes out of chosen what comes after a merge whose piece forms a pair of smaller rank."""
+        at = np.flatnonzero(chosen & self.alone[made])
+        if not len(at):
+            return
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1)
+        # To the left merges are done already, to the right not yet.
+        left = np.where((at > 1) & chosen[np.maximum(at - 2, 0)], made[np.maximum(at - 2, 0)], sym[before])
+        left = np.where((at > 0) & (word[before] == word[at]), left, -1)
+        right = np.where((at + 2 < len(sym)) & (word[after] == word[at]), sym[after], -1)
+        least = np.minimum(self.find(left, made[at])[0], self.find(made[at], right)[0])
+        stops = at[least < per[at]]
+        if len(stops):
+            of, first = np.unique(word[stops], return_index=True)
+            where = np.flatnonzero(chosen)
+            k = np.minimum(np.searchsorted(of, word[where]), len(of) - 1)
+            chosen[where[(of[k] == word[where]) & (where > stops[first][k])]] = False
 
     def _ranks(self, sym, word):
         same = np.append(word[1:] == word[:-1], False)
         return self.find(sym, np.where(same, np.append(sym[1:], -1), -1))
 
-    def _gather(self, n: int, done) -> list[bytes]:
-        word, sym, char = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        word, sym, char = word[order], sym[order], char[order]
+    def _gather(self, n: int, word, sym, char) -> list[bytes]:
         odd = np.flatnonzero((sym < 0) | (sym >= len(self.surface)))
         if len(odd):  # no piece: the bytes of the character
             spelt = [[self.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in char[odd]]
@@ -216,6 +241,13 @@ class PieceModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _in_order(done):
+    """The ended words of all rounds as one piece, in order."""
+    word, sym, char = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(word, kind="stable")
+    return word[order], sym[order], char[order]
+
+
 def _chunks(batch):
     """Slices of a batch of bounded text length; one longer text is a slice of its own."""
     texts, first, size = batch.column(1).to_pylist(), 0, 0
