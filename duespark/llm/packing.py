@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,14 @@ END_ID = 1
 #: Fixed value: the public splitting pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A run of more white space than this goes to the file's own library; the fast encoder's pattern can't cross a million.
+LONG_BLANKS = 100_000
+
 _encoders: dict[str, "ByteBpe"] = {}
 
 
 class ByteBpe:
-    """Ids of the tokenizer file: the fast encoder, and the file's own library for texts that hold a special token."""
+    """Ids of the tokenizer file: the fast encoder, and the file's own library for texts that hold a special token or a very long run of white space."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -44,6 +48,7 @@ class ByteBpe:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         shown = _shown_bytes()
         ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
+        self.bytes_of = {i: token for token, i in ranks.items()}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.size = 1 + max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])))
         self.width = np.dtype("<u2") if self.size <= 65536 else np.dtype("<u4")
@@ -55,8 +60,17 @@ class ByteBpe:
 
         return Tokenizer.from_file(self.path)
 
+    def long_blanks(self, text: str) -> bool:
+        return len(text) > LONG_BLANKS and max(map(len, re.findall(r"\s+", text)), default=0) > LONG_BLANKS
+
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text that isn't searched for special tokens."""
+        if self.long_blanks(text):
+            return self.full.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or self.long_blanks(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 

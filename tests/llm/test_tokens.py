@@ -27,6 +27,13 @@ def test_fast_encoder_equals_the_library():
         assert enc.encode(text).tolist() == full.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 1_100_000, "\u3000" * 300_000, " \n" * 60_000])
+def test_long_runs_of_white_space(run):
+    enc, full, text = packing.encoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE), f"before{run}after it's"
+    want = full.encode(text, add_special_tokens=False).ids
+    assert enc.encode(text).tolist() == want and enc.ordinary(text) == want
+
+
 def test_pieces_are_whole_and_gapless(spark, odd):
     rows = packing.pack(odd, BYTE_BPE).collect()
     full = Tokenizer.from_file(BYTE_BPE)
@@ -73,6 +80,13 @@ def test_merge_rounds_equal_the_library(library):
         assert m.decode(np.append(ids, m.end)) == library.decode([*library.encode(text), m.end]), repr(text)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdef0123456789+/", "日本語é"])
+def test_long_words_equal_the_library(library, letters):
+    m, draw = sentencepiece_bpe.model(PIECES), random.Random(2)
+    for text in ["".join(draw.choice(letters) for _ in range(200_000)), letters * (200_000 // len(letters)), letters[:2] * 100_000]:
+        assert m.encode([text])[0].tolist() == library.encode(text)
+
+
 def test_round_trip_digests(odd, library):
     found = sorted(tuple(r) for r in sentencepiece_bpe.round_trip(odd.filter("doc_id IS NOT NULL"), PIECES).collect())
     want = []
