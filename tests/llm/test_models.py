@@ -80,6 +80,52 @@ def test_base_scores(spark, odd):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+CORPUS = ["the cat sat on the mat, the end", "a cat, the cat; catalogue of cats", "é the théâtre naïve", "on and on the mat the rat", "the, the; the"]
+
+
+def test_scores_of_one_word_texts_sum_to_at_most_one(spark):
+    found = {w for t in CORPUS for w in t.split()}
+    asked = sorted(found | {w[:k] for w in found for k in range(1, len(w))} | {w + c for w in found for c in "s,;."} | {""})
+    docs = spark.createDataFrame([*enumerate(CORPUS), *enumerate(asked, 1000)], "doc_id bigint, text string")
+    rows = lm_score.score(docs, BYTE_BPE, lambda c: c >= 1000).filter("held_out").collect()
+    assert len(rows) == len(asked) and 0.05 < sum(10**r.score for r in rows) <= 1
+
+
+def test_scores_from_single_ids(spark):
+    """The score anew from the probabilities of all ids at each place, which say how likely a word opens there."""
+    learn = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id bigint, text string")
+    asked = ["the cat", "zebra! the mat,", ""]
+    docs = learn.union(spark.createDataFrame(list(enumerate(asked, 1000)), learn.schema))
+    words_of = lm_score.word_counts(learn).cache()
+    scorer, compact = lm_score.fit(learn, words_of, BYTE_BPE)
+    counts = {r.word and bytes(r.word): r.n for r in words_of.collect()}
+    unit = sum(counts.values()) + len(counts) + 1
+    enc, end = lm_score.encoder(BYTE_BPE), len(scorer.base) - 1
+    spaced = [i for i, b in enc.bytes_of.items() if b[:1] == b" "]
+    opening = Counter(compact[spaced].tolist()) + Counter([end])
+    got = {r.doc_id: r.score for r in lm_score.score(docs, BYTE_BPE, lambda c: c >= 1000).collect()}
+    for k, text in enumerate(asked):
+        split = [*text.encode().lower().split(), None]
+        ids = [[end] if w is None else [int(compact[i]) for i in enc.ordinary(" " + w.decode())] for w in split]
+
+        def chances(before):
+            return np.array([10 ** scorer.log10(np.array([*before, i], np.int32), np.array([len(before) + 1]))[-1] for i in range(end + 1)])
+
+        def opens(before):
+            p = chances(before)
+            return sum(p[i] * n for i, n in opening.items())
+
+        before, want = [], 0.0
+        for w, own in zip(split, ids, strict=True):
+            p = 1 / opens(before)
+            for i in own:
+                p *= chances(before)[i]
+                before = [*before, i]
+            p *= 1.0 if w is None else opens(before)
+            want += math.log10(0.3 * (counts[w] + 1) / unit + 0.7 * p if w in counts else (0.3 / unit + 0.7) * p)
+        assert abs(got[1000 + k] - want) < 1e-3 * max(1, abs(want)), text
+
+
 def test_windows_score_each_place_once():
     lengths = np.array([1, 31, 32, 33, 56, 57, 500])
     first, end, skip = lm_score.window_index(lengths)
