@@ -40,8 +40,8 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 def op6_warc(spark, sf_dir):
-    archive = warc.round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return archive.select("page_id", F.length("payload").cast("bigint").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to", "intact")
+    found = warc.checked_round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op7_packing(spark, sf_dir):

@@ -136,6 +136,38 @@ def test_archive_round_trip(spark):
     assert head.startswith(b"WARC/1.1\r\n") and body == b"x\r\n\r\n" and re.search(rb"Content-Length: 1$", head)
 
 
+def test_records_are_rebuilt_and_checked(spark):
+    from duespark.llm.scratch import fresh_path
+
+    pages = [(1, "http://a/%0A", "x"), (2, "http://b\r\n", "x"), (9, "http://c", "x"), (3, None, None), (5, "é\n", "é\r\n\r\n" * 900), (None, "n", "x"), (5, "é\n", "é\r\n\r\n" * 900)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for least in (0, 2):
+        rows = warc.checked_round_trip(df, least).collect()
+        assert all(r.intact for r in rows)
+        want = Counter((i, u or "", len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for i, u, h in pages)
+        assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest) for r in rows) == want
+        assert Counter((r.record_type, r.refers_to) for r in rows if r.payload_bytes == 1) == (Counter({("revisit", 9): 3, ("response", None): 1}) if least < 2 else Counter({("response", None): 4}))
+    path = fresh_path(spark, "warc")
+    warc.write_archive(df, path, date="2024-01-31T12:00:00Z")
+    heads = [bytes(r.header).decode() for r in warc.read_headers(spark, path).collect()]
+    assert len(heads) == len(pages) and all("\r\nWARC-Date: 2024-01-31T12:00:00Z\r\n" in h and h.count("\r\n\r\n") == 1 for h in heads)
+
+
+def test_query_of_the_archive(spark, small):
+    from duespark.llm.queries import QUERIES
+
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "html").collect()
+    last = {}
+    for r in pages:
+        last[r.html or ""] = max(last.get(r.html or "", r.page_id), r.page_id)
+    want = set()
+    for r in pages:
+        raw, first = (r.html or "").encode(), last[r.html or ""] == r.page_id
+        want.add((r.page_id, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else last[r.html or ""]))
+    found = QUERIES["op6_warc"](spark, small).drop("intact").collect()
+    assert len(found) == len(pages) and {tuple(r) for r in found} == want
+
+
 def test_payloads_are_stored_once(spark):
     from duespark.llm.scratch import fresh_path
 
