@@ -41,3 +41,11 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; otherwise as it is, for a shuffled join. df should be a written table."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -109,6 +109,49 @@ def test_secrets_are_found_and_masked(spark, odd):
     assert secrets.redact(odd, forest).columns == odd.columns and secrets.redact(odd, forest).count() == odd.count()
 
 
+def test_short_and_lettered_secrets_after_key_words(spark):
+    forest = secrets.train(spark)
+    planted = {'password = "hunter2Xy!" ok': "hunter2Xy!", "oauth2_client_secret=Zk3Qw8rT2yU6iO1pA5sD9f next": "Zk3Qw8rT2yU6iO1pA5sD9f", 'secret="p@ss:w0rd#1"': "p@ss:w0rd#1", "key qWeRtYuIoPaSdFgHjKlZxCvB done": "qWeRtYuIoPaSdFgHjKlZxCvB"}
+    plain = ["password: everything is", "auth: https://host.example/path/main", "see getUserNameFromTableColumn()", "api_key = abcdefgh", "the secret garden: a token of esteem"]
+    docs = spark.createDataFrame(list(enumerate([*planted, *plain])), "doc_id bigint, text string")
+    found = {(r.doc_id, r.candidate) for r in secrets.scan(docs, forest).filter("secret").collect()}
+    assert found == set(enumerate(planted.values()))
+
+
+def test_secrets_planted_in_documents(spark, small):
+    """Recall and precision of drawn secrets at drawn places of documents that hold none."""
+    forest, draw = secrets.train(spark), np.random.default_rng(8)
+    docs = [r for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect() if not re.search("token|secret|password|key", r.text or "")]
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    rows, want = [], set()
+    for r in docs:
+        words, key = r.text.split(" "), "".join(draw.choice(letters, int(draw.integers(20, 48))))
+        at = int(draw.integers(0, len(words) + 1))
+        lead = ["api_key = ", "password: ", "AUTH_TOKEN=", 'client_secret: "'][r.doc_id % 4]
+        if r.doc_id % 2:
+            words.insert(at, lead + key + ('"' if lead.endswith('"') else ""))
+            want.add((r.doc_id, key))
+        else:
+            words.insert(at, ["commit ", "sha1: ", "md5 "][r.doc_id % 3] + "".join(draw.choice(list("0123456789abcdef"), 40)))
+        rows.append((r.doc_id, " ".join(words)))
+    found = {(r.doc_id, r.candidate) for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), forest).filter("secret").collect()}
+    assert len(want) > 40 and len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.9 * len(found)
+
+
+def test_very_many_candidates(spark):
+    forest, one = secrets.train(spark), "id=9f86d081884c7d659 é "
+    docs = spark.createDataFrame([(1, one * 3000)], "doc_id bigint, text string")
+    found = sorted(r.start for r in secrets.scan(docs, forest).collect())
+    assert found == [3 + len(one) * k for k in range(3000)]
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    forest = secrets.train(spark)
+    docs = spark.createDataFrame([(1, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "a", "b", "c", "d")], "doc_id bigint, text string, __pieces string, __found string, __candidates string, __SEEN string")
+    (r,) = secrets.redact(docs, forest).collect()
+    assert r.text == 'token = "[SECRET]"' and tuple(r)[2:] == ("a", "b", "c", "d")
+
+
 def test_forest_on_held_out_findings(spark):
     forest = secrets.train(spark)
     fresh = secrets.labelled_findings(400, seed=99)
