@@ -17,7 +17,8 @@ back as they are; rows alike in id and text count as one document; of equal ids
 texts the text's MD5 decides the order; a null id sorts first; an empty table gives no rows.
 A passage inside a line that repeats within one document only stays, as does one embedded in a line that is
 like another but not equal to it. With a removed passage goes the white space after it, up to a line's end.
-Columns other than the id and the text pass through unread, whatever their names.
+Columns other than the id and the text pass through unread, whatever their names; only columns called
+n_removed or kept_in are replaced. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from duespark.llm.groups import connected_components
 from duespark.llm.ngram_join import verified_links
-from duespark.llm.scratch import broadcast_if, write_table
+from duespark.llm.scratch import broadcast_if, unused, write_table
 from duespark.llm.shingles import WIDTH, MinHash, anchors, bands_for, row_starts, run_hashes, shingle_hashes, span_hashes, text_chunks, words
 
 THRESHOLD = 0.8
@@ -222,24 +223,26 @@ def passages(texts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut, and n_removed (paragraphs and passages) and kept_in (ids of the documents that keep the removed ones)."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = repeats(plain, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).agg(F.collect_set("line").alias("__lines"), F.array_sort(F.collect_set("kept_in")).alias("__kept"))
+    id_, key, lines, kept, own, pieces, n, too = (unused(docs, f"__{k}") for k in ("id", "key", "lines", "kept", "own", "pieces", "n", "too"))
+    cut = repeats(plain, threshold).groupBy(F.col("doc_id").alias(id_), F.col("doc_key").alias(key)).agg(F.collect_set("line").alias(lines), F.array_sort(F.collect_set("kept_in")).alias(kept))
     cut = broadcast_if(write_table(cut, "removals"), BROADCAST_ROWS)
     text = F.coalesce(docs[text_col], F.lit(""))
-    joined = docs.drop("kept_in", "n_removed").withColumn("__own", F.unhex(F.md5(text)))
-    joined = joined.join(cut, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains("__lines", k)), "\n")
-    joined = joined.withColumn(text_col, F.when(F.col("__lines").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(rest)).drop("__id", "__key")
-
-    lines = write_table(joined.select(F.col(id_col).alias("doc_id"), F.col("__own").alias("doc_key"), F.col(text_col).alias("text")), "lines-cut")
-    found = passages(lines).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), F.col("pieces").alias("__pieces"), F.col("n").alias("__n"), F.col("kept_in").alias("__too"))
-    joined = joined.join(broadcast_if(found, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
-    rest = F.array_join(F.transform("__pieces", lambda p: F.substring(F.col(text_col), p["at"], p["len"])), "")
-    none = F.array().cast("array<bigint>")
+    joined = docs.drop("kept_in", "n_removed").withColumn(own, F.unhex(F.md5(text)))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key))
+    joined = joined.join(cut, same, "left")
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains(lines, k)), "\n")
+    joined = joined.withColumn(text_col, F.when(F.col(lines).isNull(), F.coalesce(text_col, F.lit(""))).otherwise(rest)).drop(id_, key)
+
+    left = write_table(joined.select(F.col(id_col).alias("doc_id"), F.col(own).alias("doc_key"), F.col(text_col).alias("text")), "lines-cut")
+    found = passages(left).select(F.col("doc_id").alias(id_), F.col("doc_key").alias(key), F.col("pieces").alias(pieces), F.col("n").alias(n), F.col("kept_in").alias(too))
+    joined = joined.join(broadcast_if(found, BROADCAST_ROWS), same, "left")
+    rest = F.array_join(F.transform(pieces, lambda p: F.substring(F.col(text_col), p["at"], p["len"])), "")
+    none = F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
     out = joined.withColumns(
         {
-            text_col: F.when(F.col("__pieces").isNull(), F.col(text_col)).otherwise(rest),
-            "n_removed": F.coalesce(F.size("__lines"), F.lit(0)) + F.coalesce("__n", F.lit(0)),
-            "kept_in": F.when(F.col("__too").isNull(), F.coalesce("__kept", none)).otherwise(F.array_sort(F.array_union(F.coalesce("__kept", none), "__too"))),
+            text_col: F.when(F.col(pieces).isNull(), F.col(text_col)).otherwise(rest),
+            "n_removed": F.coalesce(F.size(lines), F.lit(0)) + F.coalesce(n, F.lit(0)),
+            "kept_in": F.when(F.col(too).isNull(), F.coalesce(kept, none)).otherwise(F.array_sort(F.array_union(F.coalesce(kept, none), too))),
         }
     )
-    return out.drop("__id", "__key", "__lines", "__own", "__kept", "__pieces", "__n", "__too")
+    return out.drop(id_, key, lines, own, kept, pieces, n, too)
