@@ -125,3 +125,12 @@ def line_clusters(blocks: DataFrame, gap: float) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy("mid_y", "block_id")
     df = blocks.withColumn("__new", F.when(F.col("mid_y") - F.lag("mid_y").over(w) > gap, 1).otherwise(0))
     return df.withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("__new")
+
+
+def estimated_confidence(text: Column, blocks: Column) -> Column:
+    """CNF-04: ten-thousandths, from the share of low-quality tokens and the number of blocks; 0 for a text without tokens."""
+    tokens = F.array_remove(F.split(text, r"\s+"), "")
+    low = lambda t: ((F.length(t) == 1) & ~t.isin("I", "a", "A", "x", "X", "&")) | t.rlike(r"[^\p{L}\p{N}_@#&%$,.:/+\-]") | (t.rlike(r"\p{Nd}") & t.rlike("[A-Za-z]") & t.rlike(r"[^\p{L}\p{N}_]"))
+    share = F.size(F.filter(tokens, low)) / F.size(tokens)
+    raw = F.lit(0.92) - share * 0.55 + F.least(F.lit(0.15), blocks * 0.002)
+    return F.when(F.size(tokens) > 0, F.greatest(F.lit(0), F.least(F.lit(9900), F.floor(raw * 10000 + 0.5)))).otherwise(0).cast("bigint")

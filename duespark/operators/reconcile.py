@@ -99,3 +99,45 @@ def split_matches(pairs: DataFrame, tolerance: int = TOLERANCE, most: int = 10)
         level = nxt.select("txn_id", "debit_minor", F.col("invoice_id").alias("last"), (F.col("sum") + F.col("net_minor")).alias("sum"), F.concat("ids", F.array("invoice_id")).alias("ids"))
         found = found.unionByName(level.filter(F.abs(F.col("debit_minor") - F.col("sum")) <= tolerance))
     return found.groupBy("txn_id").agg(F.min_by(F.struct("ids", "sum"), F.struct(F.size("ids"), F.abs(F.col("debit_minor") - F.col("sum")), "ids")).alias("b")).select("txn_id", "b.ids", "b.sum")
+
+
+def apply_links(txns: DataFrame, invoices: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DML-10: matches, manual matches and unmatches, with their effects on transactions and invoices.
+
+    txns: txn_id, invoice_id, confidence, status; invoices: invoice_id, verified_by (a transaction), n_verified (its
+    signals of a verified payment); links: txn_id, action (match, manual, unmatch), invoice_id, confidence, one row a transaction.
+    An unmatch clears the invoice that its transaction had, and comes before the matches; of several
+    transactions matched with one invoice the largest id verifies it, and each leaves a signal.
+    """
+    k = links.select(F.col("txn_id").alias("__txn"), "action", F.col("invoice_id").alias("__invoice"), F.col("confidence").alias("__confidence"))
+    joined = txns.join(k, F.col("txn_id") == F.col("__txn"), "left")
+    linked, off = F.col("action").isin("match", "manual"), F.col("action") == "unmatch"
+    after = joined.select(
+        "txn_id",
+        F.when(linked, F.col("__invoice")).when(off, None).otherwise(F.col("invoice_id")).alias("invoice_id"),
+        F.when(F.col("action") == "manual", 100).when(linked, F.col("__confidence")).when(off, None).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(F.col("action") == "manual", "manual").when(linked, "matched").when(off, "unmatched").otherwise(F.col("status")).alias("status"),
+    )
+    cleared = joined.filter(off & F.col("invoice_id").isNotNull()).select("invoice_id").distinct().withColumn("__cleared", F.lit(True))
+    added = joined.filter(linked).groupBy(F.col("__invoice").alias("invoice_id")).agg(F.max("txn_id").alias("__by"), F.count(F.lit(1)).alias("__more"))
+    both = invoices.join(cleared, "invoice_id", "left").join(added, "invoice_id", "left")
+    keep = F.col("__cleared").isNull()
+    return after, both.select("invoice_id", F.coalesce("__by", F.when(keep, F.col("verified_by"))).alias("verified_by"), (F.when(keep, F.col("n_verified")).otherwise(0) + F.coalesce("__more", F.lit(0))).cast("bigint").alias("n_verified"))
+
+
+def aggregate_matches(payments: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """E-02: several payments (invoice_ref, debit_minor) of one invoice (number, invoice_id, net_minor) against its amount, by the number that they name."""
+    paid = payments.groupBy("invoice_ref").agg(F.sum("debit_minor").cast("bigint").alias("paid_minor"), F.count(F.lit(1)).alias("payments"))
+    joined = invoices.join(paid, F.col("number") == F.col("invoice_ref"))
+    off = F.col("paid_minor") - F.col("net_minor")
+    state = F.when(F.abs(off) <= tolerance, "matched").when(off < 0, "part paid").otherwise("overpaid")
+    return joined.select("invoice_id", "payments", "paid_minor", state.alias("state"))
+
+
+def over_allocated(allocations: DataFrame, txns: DataFrame, invoices: DataFrame) -> DataFrame:
+    """E-06: allocations (txn_id, invoice_id, minor) whose transaction or invoice has more allocated than its own amount."""
+    by = lambda key, name: allocations.groupBy(key).agg(F.sum("minor").alias(name))
+    full_txn = by("txn_id", "s").join(txns.select("txn_id", "debit_minor"), "txn_id").select("txn_id", (F.col("s") > F.col("debit_minor")).alias("over_txn"))
+    full_inv = by("invoice_id", "s").join(invoices.select("invoice_id", "net_minor"), "invoice_id").select("invoice_id", (F.col("s") > F.col("net_minor")).alias("over_invoice"))
+    joined = allocations.join(full_txn, "txn_id", "left").join(full_inv, "invoice_id", "left")
+    return joined.select("txn_id", "invoice_id", "minor", F.coalesce("over_txn", F.lit(False)).alias("over_txn"), F.coalesce("over_invoice", F.lit(False)).alias("over_invoice"))

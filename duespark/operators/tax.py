@@ -116,3 +116,24 @@ def section_rule(items: DataFrame, rules: DataFrame) -> DataFrame:
     w = Window.partitionBy("item_id").orderBy("rank", F.desc("priority"), "section")
     top = joined.select("item_id", "section", F.row_number().over(w).alias("k"), (F.lead("priority").over(w) == F.col("priority")).alias("p"), (F.lead("rank").over(w) == F.col("rank")).alias("q"))
     return top.filter("k = 1").select("item_id", "section", F.when(F.col("section").isNull(), "none").when(F.col("p") & F.col("q"), "medium").otherwise("high").alias("confidence"))
+
+
+def resolved_rates(items: DataFrame, overrides: DataFrame, rates: DataFrame) -> DataFrame:
+    """JN-16: the rate of each item (item_id, tenant_id, section, pan_category): the tenant's own, none if that is inactive, else the current one.
+
+    overrides: tenant_id, section, active, company, individual (basis points), threshold; one row a tenant and section.
+    rates: section, active, valid_to (null: current), company, individual, single, annual; one current row a section.
+    """
+    pick = lambda side: F.when(F.col("pan_category") == "C", F.col(f"{side}.company")).otherwise(F.col(f"{side}.individual"))
+    current = rates.filter("active AND valid_to IS NULL").alias("r")
+    i, o = items.alias("i"), overrides.alias("o")
+    joined = i.join(o, (F.col("i.tenant_id") == F.col("o.tenant_id")) & (F.col("i.section") == F.col("o.section")), "left").join(current, F.col("i.section") == F.col("r.section"), "left")
+    own, table = F.col("o.section").isNotNull(), F.col("r.section").isNotNull()
+    use = lambda mine, common: F.when(own & F.col("o.active"), mine).when(~own & table, common)
+    return joined.select(
+        "i.item_id",
+        use(pick("o"), pick("r")).cast("bigint").alias("bps"),
+        use(F.col("o.threshold"), F.col("r.single")).cast("bigint").alias("single_minor"),
+        use(F.lit(0), F.col("r.annual")).cast("bigint").alias("annual_minor"),
+        use(F.lit("tenant"), F.lit("rateTable")).alias("source"),
+    )

@@ -15,9 +15,10 @@ def tenant_names(spark, d):
 
 
 def amount_range(spark, d):
-    """JN-12: invoices within the range of all transactions' amounts; the range is one row, computed once."""
-    low, high = transactions(spark, d).agg(F.min("debit_minor"), F.max("debit_minor")).first()
-    return invoices(spark, d).filter(F.col("total_minor").between((low or 0) - 100, (high or 0) + 100)).agg(F.count(F.lit(1)).alias("n"), F.min("invoice_id").alias("first"))
+    """JN-12: invoices within the range of all transactions' amounts; the range is a scalar subquery, within the one job."""
+    t = transactions(spark, d)
+    edge = lambda of: F.coalesce(t.agg(of("debit_minor")).scalar(), F.lit(0))
+    return invoices(spark, d).filter(F.col("total_minor").between(edge(F.min) - 100, edge(F.max) + 100)).agg(F.count(F.lit(1)).alias("n"), F.min("invoice_id").alias("first"))
 
 
 def mailboxes(spark, d):
@@ -73,10 +74,20 @@ def expected_debits(spark, d):
 
 
 def voucher_preview(spark, d):
-    """VCH-04, VCH-05: label and value rows of a voucher; the place of supply only if it differs."""
-    i = invoices(spark, d).join(vendors(spark, d).select("vendor_id", "state"), "vendor_id").filter("invoice_id % 16 = 0")
+    """VCH-04, VCH-05: label and value rows of every voucher; the place of supply only if it differs."""
+    i = invoices(spark, d).join(vendors(spark, d).select("vendor_id", "state", "name"), "vendor_id", "left")
     row = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
-    rows = F.array(row("number", F.col("number")), row("amount", to_major_text(F.col("total_minor"))), row("place", F.when(F.col("state") != "NATION_1", F.col("state"))))
+    amount, key = to_major_text(F.col("total_minor")), F.col("invoice_id").cast("string")
+    rows = F.array(
+        row("Invoice Number", F.col("number")),
+        row("Vendor Name", F.coalesce("name", F.lit("Unknown Vendor"))),
+        row("Invoice Date", F.date_format("created_at", "yyyyMMdd")),
+        row("Total Amount", F.concat(F.lit("-"), amount, F.lit(" / "), amount)),
+        row("Purchase Ledger", F.lit("PURCHASE_LEDGER")),
+        row("Company", F.lit("COMPANY")),
+        row("Narration", F.concat(F.lit("Source=orders:"), key, F.lit(" | Attachment="), F.col("number"), F.lit(" | InternalId="), key)),
+        row("Place of Supply", F.when(F.col("state") != "NATION_1", F.col("state"))),
+    )
     return i.select("invoice_id", F.explode(rows).alias("r")).select("invoice_id", "r.label", "r.value").filter("value IS NOT NULL")
 
 
@@ -122,8 +133,10 @@ SELECT invoice_id, abs(t - total_minor) <= 1 AS adds_up, large, has_r FROM e JOI
 j AS (SELECT t.tenant_id, g, paid, total_minor + CAST(floor(total_minor / 1000 + 0.5) AS BIGINT) AS expected FROM t JOIN invoices i ON last = invoice_id),
 s AS (SELECT *, CAST(CASE WHEN abs(paid - expected) > 5000 THEN -1 WHEN abs(paid - expected) <= 1 THEN 50 ELSE 10 END AS BIGINT) AS score FROM j)
 SELECT *, CASE WHEN score > 50 THEN 'matched' WHEN score >= 30 THEN 'suggested' ELSE 'unmatched' END AS state FROM s""",
-    "vch04_vch05_preview": f"""{ctes('invoices', 'vendors')}, j AS (SELECT invoice_id, number, total_minor, state FROM invoices i JOIN vendors v ON i.vendor_id = v.vendor_id WHERE invoice_id % 16 = 0)
-SELECT invoice_id, 'number' AS label, number AS value FROM j UNION ALL SELECT invoice_id, 'amount', total_minor // 100 || '.' || lpad(CAST(total_minor % 100 AS VARCHAR), 2, '0') FROM j UNION ALL SELECT invoice_id, 'place', state FROM j WHERE state <> 'NATION_1'""",
+    "vch04_vch05_preview": f"""{ctes('invoices', 'vendors')}, j AS (SELECT invoice_id, number, created_at, total_minor // 100 || '.' || lpad(CAST(total_minor % 100 AS VARCHAR), 2, '0') AS amount, state, name FROM invoices i LEFT JOIN vendors v ON i.vendor_id = v.vendor_id)
+SELECT invoice_id, 'Invoice Number' AS label, number AS value FROM j UNION ALL SELECT invoice_id, 'Vendor Name', coalesce(name, 'Unknown Vendor') FROM j UNION ALL SELECT invoice_id, 'Invoice Date', strftime(created_at, '%Y%m%d') FROM j
+UNION ALL SELECT invoice_id, 'Total Amount', '-' || amount || ' / ' || amount FROM j UNION ALL SELECT invoice_id, 'Purchase Ledger', 'PURCHASE_LEDGER' FROM j UNION ALL SELECT invoice_id, 'Company', 'COMPANY' FROM j
+UNION ALL SELECT invoice_id, 'Narration', 'Source=orders:' || invoice_id || ' | Attachment=' || number || ' | InternalId=' || invoice_id FROM j UNION ALL SELECT invoice_id, 'Place of Supply', state FROM j WHERE state <> 'NATION_1'""",
     "srt05_srt09_priorities": f"{ctes('invoices')} SELECT CASE status WHEN 'FAILED_PARSE' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END AS tier, tenant_id, count(*) AS n FROM invoices GROUP BY 1, 2",
     "mth09_banker_rounding": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey // 2 WHEN o_orderkey % 4 = 3 THEN o_orderkey // 2 + 1 ELSE o_orderkey // 2 END AS BIGINT) AS half_even FROM orders",
 }

@@ -88,9 +88,9 @@ def tenant_overview(inv: DataFrame, ven: DataFrame) -> DataFrame:
 def liability(ent: DataFrame) -> DataFrame:
     """AG-17..19, AG-21: by section, vendor and section, quarter and section, in one pass over grouping sets."""
     df = ent.select(fiscal_year(F.col("invoice_date")).alias("fy"), fiscal_quarter(F.col("invoice_date")).alias("quarter"), "section", "vendor_id", "base_minor", "tax_minor", "invoice_date")
-    df.createOrReplaceTempView("duespark_liability")
-    return df.sparkSession.sql("""SELECT fy, section, vendor_id, quarter, CAST(sum(base_minor) AS BIGINT) AS base_minor, CAST(sum(tax_minor) AS BIGINT) AS tax_minor, count(*) AS n, CAST(min(invoice_date) AS TIMESTAMP_NTZ) AS first_date
-        FROM duespark_liability GROUP BY GROUPING SETS ((fy, section), (fy, vendor_id, section), (fy, quarter, section))""")
+    sets = [["fy", "section"], ["fy", "vendor_id", "section"], ["fy", "quarter", "section"]]
+    grouped = df.groupingSets([[F.col(c) for c in x] for x in sets], "fy", "section", "vendor_id", "quarter")
+    return grouped.agg(big(F.sum("base_minor")).alias("base_minor"), big(F.sum("tax_minor")).alias("tax_minor"), F.count(F.lit(1)).alias("n"), F.min("invoice_date").cast("timestamp_ntz").alias("first_date"))
 
 
 def liability_kpis(ent: DataFrame, threshold: int) -> DataFrame:

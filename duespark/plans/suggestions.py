@@ -16,10 +16,10 @@ def history(spark, d):
 
 
 def catalog(spark, d):
-    """GLS-03: parts' types matched with ten of the parts as a catalog."""
+    """GLS-03: parts' texts matched with all types as a catalog; a type's code is its least part."""
     p = table(spark, d, "part")
     items = p.select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
-    return suggest.catalog_matches(items, p.filter("p_partkey < 10").select(F.col("p_partkey").alias("code"), F.concat_ws(" ", "p_type", "p_name").alias("name")))
+    return suggest.catalog_matches(items, p.groupBy(F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("code")))
 
 
 def flags(spark, d):
@@ -118,7 +118,8 @@ _tok = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^\
 ORACLES = {
     "gls02_win09_history": """WITH u AS (SELECT o_custkey AS vendor_id, o_orderpriority AS code, count(*) + 2 * count(*) FILTER (o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY) AS score FROM orders GROUP BY 1, 2)
 SELECT vendor_id, code, score, CAST(least(100, floor(100 * score / greatest(sum(score) OVER (PARTITION BY vendor_id), 1) + 0.5)) AS BIGINT) AS confidence, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, code) AS rank FROM u""",
-    "gls03_catalog": f"""WITH t AS (SELECT p_partkey AS k, concat_ws(' ', p_type, p_name) AS x FROM part), a AS (SELECT k, unnest({_tok('x')}) AS w FROM t), h AS (SELECT a.k AS item_id, b.k AS code, count(*) AS n FROM a JOIN a b ON a.w = b.w AND b.k < 10 GROUP BY 1, 2)
+    "gls03_catalog": f"""WITH a AS (SELECT p_partkey AS item_id, unnest({_tok("concat_ws(' ', p_type, p_name)")}) AS w FROM part), c AS (SELECT min(p_partkey) AS code, p_type FROM part GROUP BY p_type), b AS (SELECT code, unnest({_tok('p_type')}) AS w FROM c),
+h AS (SELECT item_id, code, count(*) AS n FROM a JOIN b USING (w) GROUP BY 1, 2)
 SELECT item_id, code, CAST(least(70, 20 * n) AS BIGINT) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, code) AS r FROM h) WHERE r = 1""",
     "flg01_flags": """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN false WHEN c_name = 'Customer#000000001' THEN true ELSE CAST('0x' || left(sha256(c_name || ':beta'), 8) AS BIGINT) % 100 < 25 END AS "on" FROM customer""",
     "flt18_flt23_actions": f"""{ctes('invoices')} SELECT invoice_id, CASE status WHEN 'EXPORTED' THEN '' WHEN 'APPROVED' THEN 'select,export' WHEN 'PARSED' THEN 'select,approve' WHEN 'NEEDS_REVIEW' THEN 'select,approve,retry' ELSE 'select,retry' END AS actions,
