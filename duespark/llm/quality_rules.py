@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from duespark.llm.scratch import broadcast_if, write_table
 
 SPACE = r"[\x20\x09-\x0D]"
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 10_000
 #: Mean log ratio (natural logarithm) that a document needs.
 THRESHOLD = -0.3
@@ -53,10 +52,6 @@ def hashes_of(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.xxhash64(t))
 
 
-def _without(text: Column, signs: str) -> Column:
-    return F.length(F.translate(text, signs, ""))
-
-
 def _covered(positions: Column) -> Column:
     """Words in the union of three-word windows at sorted positions."""
     return F.aggregate(F.transform(positions, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(positions, k + 1) - p, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -84,7 +79,9 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.filter(F.split("text", "\n"), lambda line: line.rlike(SPACE.replace("[", "[^"))).alias("lines"),
     )
     windows = F.col("windows")
-    df = df.select("*", F.filter(windows, lambda x, k: F.coalesce((high(F.get(windows, k - 1)) == high(x)) & (k > 0), F.lit(False)) | F.coalesce(high(F.get(windows, k + 1)) == high(x), F.lit(False))).alias("twice"))
+    # Each window against the next one; of two alike both are kept, and a window is named once.
+    alike = F.zip_with(windows, F.slice(windows, 2, F.greatest(F.size(windows), F.lit(0))), lambda x, y: F.when(high(x.bitwiseXOR(y)) == 0, F.array(x, y)))
+    df = df.select("*", F.array_distinct(F.flatten(F.filter(alike, lambda p: p.isNotNull()))).alias("twice"))
     twice = F.col("twice")
     at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
     clash = (n > mask) | F.exists(F.transform(twice, lambda x, k: (k > 0) & (high(F.get(twice, k - 1)) == high(x)) & (gram(words, at(F.get(twice, k - 1))) != gram(words, at(x)))), lambda c: F.coalesce(c, F.lit(False)))
@@ -99,8 +96,8 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id",
         "tokens",
         "n_words",
-        _without(F.col("text"), SPACES).cast("bigint").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("positions")), F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
