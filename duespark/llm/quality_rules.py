@@ -103,20 +103,26 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _of_hashes(h: Column) -> Column:
+    """The buckets of all tokens and pairs of hashes."""
+    return F.concat(F.transform(h, lambda x: bucket_of(x)), F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: bucket_of(x, F.get(h, i + 1))))
+
+
 def _buckets(tokens: Column) -> Column:
     """The buckets of all tokens and pairs; the hashes are bound to a name, so that each token is hashed once."""
-    both = lambda h: F.concat(F.transform(h, lambda x: bucket_of(x)), F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: bucket_of(x, F.get(h, i + 1))))
-    return F.get(F.transform(F.array(hashes_of(tokens)), both), F.lit(0))
+    return F.get(F.transform(F.array(hashes_of(tokens)), _of_hashes), F.lit(0))
 
 
-def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Millionths of log(trusted / raw) for each bucket. trusted: the ids of trusted documents, one column, without nulls."""
+def _with_trust(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) with good. trusted: ids, one column; nulls are no ids."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).dropna().distinct()
     ids = broadcast_if(write_table(ids, "trusted"), BROADCAST_IDS)
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = df.join(ids, df["doc_id"] == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("good"), ngrams_of(F.col("text")).alias("tokens"))
-    df = df.select("good", F.explode(_buckets(F.col("tokens"))).alias("bucket"))
-    counts = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
+    return rows.join(ids, rows["doc_id"] == F.col("trusted_id"), "left").withColumn("good", F.col("trusted_id").isNotNull()).drop("trusted_id")
+
+
+def _ratios(rows: DataFrame) -> list[int]:
+    """Millionths of log(trusted / raw) for each bucket of rows (good, buckets)."""
+    counts = rows.select("good", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
     raw, good = [1] * BUCKETS, [1] * BUCKETS
     for row in counts:
         raw[row["bucket"]] += row["raw"]
@@ -125,16 +131,32 @@ def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return [round(1e6 * (math.log(g / r) + shift)) for g, r in zip(good, raw, strict=True)]
 
 
-def judge(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+def _verdicts(rows: DataFrame, ratios: list[int], threshold: float) -> DataFrame:
+    """The verdicts of rows with the base counts and buckets."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
-    df = base_counts(docs, id_col, text_col)
-    tokens = F.col("tokens")
-    # A token's own ratio and that of the pair it begins, in one pass.
-    pair = lambda t, i: F.coalesce(F.get(table, F.when(i + 1 < F.size(tokens), bucket_of(t, F.get(tokens, i + 1)))), F.lit(0))
-    total = F.aggregate(F.transform(tokens, lambda t, i: F.get(table, bucket_of(t)) + pair(t, i)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    grams = F.greatest(2 * F.size(tokens) - 1, F.lit(1))
+    total = F.aggregate("buckets", F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = df.select(*counts, (total / (grams * F.lit(1e6))).alias("score"))
+    df = rows.select(*counts, (total / (F.greatest(F.size("buckets"), F.lit(1)) * F.lit(1e6))).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return df.select(*counts, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+
+
+def fit_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """Millionths of log(trusted / raw) for each bucket. trusted: the ids of trusted documents, one column, without nulls."""
+    df = docs.select(F.col(id_col).alias("doc_id"), _buckets(ngrams_of(F.coalesce(F.col(text_col), F.lit("")))).alias("buckets"))
+    return _ratios(_with_trust(df, trusted))
+
+
+def judge(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+    return _verdicts(_counted(docs, id_col, text_col), ratios, threshold)
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return base_counts(docs, id_col, text_col).withColumn("buckets", _of_hashes(F.col("tokens"))).drop("tokens")
+
+
+def fit_and_judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The verdicts of docs by the ratios that docs and trusted give. Texts are read once: counts and buckets go to a written table, about 0.6 of the input."""
+    rows = write_table(_counted(docs, id_col, text_col), "buckets")
+    return _verdicts(rows, _ratios(_with_trust(rows.select("doc_id", "buckets"), trusted)), threshold)

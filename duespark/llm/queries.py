@@ -62,7 +62,7 @@ def op9_fingerprints(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     trusted = _read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return quality_rules.judge(docs, quality_rules.fit_ratios(docs, trusted))
+    return quality_rules.fit_and_judge(docs, trusted)
 
 
 QUERIES = {

@@ -60,6 +60,13 @@ def test_ratios_and_scores(spark, small):
     assert all(kept == (q == 1) for kept, q in judged)
 
 
+def test_one_reading_gives_the_same_verdicts(spark, small, odd):
+    labels = spark.read.parquet(f"{small}/labels.parquet").filter("quality = 1").select("doc_id")
+    for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
+        want = quality_rules.judge(docs, quality_rules.fit_ratios(docs, labels))
+        assert Counter(map(tuple, quality_rules.fit_and_judge(docs, labels).collect())) == Counter(map(tuple, want.collect()))
+
+
 def weighted_jaccard(a, b):
     x, y = Counter(words(a)), Counter(words(b))
     return sum((x & y).values()) / max(1, sum((x | y).values())) if x or y else 1.0
