@@ -25,6 +25,13 @@ def guarded_update(rows: DataFrame, guard: Column, **fields: Column) -> DataFram
     return rows.withColumns({k: F.when(ok, v).otherwise(F.col(k)) for k, v in fields.items()} | {"modified": ok})
 
 
+def bulk_update(rows: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """SRC-12: many single updates as one join. updates: at most one row a key; a null field leaves the old value."""
+    u = updates.select(F.col(key).alias("__k"), *[F.col(x).alias(f"__{x}") for x in fields])
+    new = {x: F.coalesce(f"__{x}", x) for x in fields}
+    return rows.join(u, F.col(key) == F.col("__k"), "left").withColumns(new).drop("__k", *[f"__{x}" for x in fields])
+
+
 def guarded_delete(rows: DataFrame, chosen: Column, allowed: Column) -> DataFrame:
     """DML-04: chosen rows go if allowed."""
     return rows.filter(~(F.coalesce(chosen, F.lit(False)) & F.coalesce(allowed, F.lit(False))))

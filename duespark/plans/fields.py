@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from duespark.functions import fields
 from duespark.functions.dates import fiscal_quarter, fiscal_year
-from duespark.plans.adapt import ctes, entries, invoices, vendors
+from duespark.operators.changes import bulk_update
+from duespark.operators.risk import action_reason, severity_of
+from duespark.plans.adapt import ctes, entries, invoices, transactions, vendors
 from duespark.plans.overview import _fy, _quarter, big
 from duespark.sources.tables import table
 
@@ -132,6 +134,18 @@ def lookup(inv: DataFrame, invoice_id: int) -> DataFrame:
     return inv.filter(F.col("invoice_id") == invoice_id).limit(1).select("invoice_id", "tenant_id", "status")
 
 
+def exported_reasons(spark, d):
+    """SRC-12, DML-09: results of an export set statuses and errors; reason and severity are derived from the new values."""
+    t = transactions(spark, d)
+    failed = F.col("description") == "UPI transfer"
+    results = t.select(F.col("txn_id").alias("invoice_id"), F.when(~failed, "EXPORTED").alias("status"), F.when(failed, "timeout").alias("export_error"))
+    rows = invoices(spark, d).select("invoice_id", "vendor_id", "total_minor", "status", F.lit(None).cast("string").alias("export_error"))
+    rows = bulk_update(rows, results, "invoice_id", ["status", "export_error"])
+    reason = action_reason(F.col("status"), F.col("export_error"), F.col("total_minor") > 30_000_000, F.col("vendor_id").isNotNull(), F.lit("INR"))
+    rows = rows.withColumn("reason", reason)
+    return rows.select("invoice_id", "status", "export_error", "reason", F.when(F.col("reason").isNotNull(), severity_of(F.col("reason"))).cast("bigint").alias("severity"))
+
+
 _inv = lambda f: lambda spark, d: f(invoices(spark, d))
 QUERIES = {
     "str10_str11_states_banks": states_banks,
@@ -147,6 +161,7 @@ QUERIES = {
     "srt12_history_pages": history_pages,
     "ag20_quarter_liability": lambda spark, d: quarter_liability(entries(spark, d)),
     "prj01_prj02_projected": _inv(projected),
+    "src12_dml09_exported_reasons": exported_reasons,
     "src02_lookup": _inv(lambda inv: lookup(inv, 1)),
 }
 _texts = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
@@ -179,5 +194,8 @@ SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, day DE
     "ag20_quarter_liability": f"""{ctes('entries')}, e AS (SELECT {_fy} AS fy, {_quarter} AS quarter, * FROM entries), f AS (SELECT *, min(invoice_date) OVER (PARTITION BY fy, section, vendor_id) AS first FROM e)
 SELECT fy, section, CAST(sum(base_minor) AS BIGINT) AS base_minor, CAST(sum(tax_minor) AS BIGINT) AS tax_minor, count(*) AS n, min(first) AS first_date FROM f WHERE quarter = 'Q2' GROUP BY 1, 2""",
     "prj01_prj02_projected": f"{ctes('invoices')} SELECT invoice_id, status, total_minor FROM invoices",
+    "src12_dml09_exported_reasons": f"""{ctes('invoices', 'transactions')}, j AS (SELECT invoice_id, vendor_id, total_minor, CASE WHEN description <> 'UPI transfer' THEN 'EXPORTED' ELSE status END AS status, CASE WHEN description = 'UPI transfer' THEN 'timeout' END AS export_error FROM invoices LEFT JOIN transactions ON invoice_id = txn_id),
+r AS (SELECT *, CASE WHEN status = 'FAILED_PARSE' THEN 'FAILED' WHEN export_error IS NOT NULL THEN 'EXPORT_FAILED' WHEN total_minor > 30000000 THEN 'CRITICAL_RISK' WHEN vendor_id IS NULL THEN 'MISSING_GSTIN' WHEN status = 'NEEDS_REVIEW' THEN 'NEEDS_REVIEW' END AS reason FROM j)
+SELECT invoice_id, status, export_error, reason, CAST(CASE reason WHEN 'FAILED' THEN 100 WHEN 'EXPORT_FAILED' THEN 90 WHEN 'CRITICAL_RISK' THEN 80 WHEN 'MISSING_GSTIN' THEN 70 WHEN 'NEEDS_REVIEW' THEN 50 END AS BIGINT) AS severity FROM r""",
     "src02_lookup": f"{ctes('invoices')} SELECT invoice_id, tenant_id, status FROM invoices WHERE invoice_id = 1",
 }
