@@ -43,6 +43,14 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def broadcast_under(df: DataFrame, most_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its values take at most that many bytes, 8 and more a value; otherwise as it is, for a shuffled join. df should be a written table of plain columns."""
+    width = lambda f: F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.lit(0)
+    row = sum((F.coalesce(width(f), F.lit(0)) + 8 for f in df.schema), F.lit(16))
+    size = df.agg(F.sum(row.cast("bigint")).alias("size")).first()["size"] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or with underscores after it, so that no column of df is called so."""
     taken = {c.lower() for c in df.columns}
