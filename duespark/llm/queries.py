@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duespark.llm import fingerprints, lm_score, ngram_join, packing, quality, quality_rules, secrets, sentencepiece_bpe, simhash, spelling, substring_dedup, warc
+from duespark.llm import fingerprints, lm_score, ngram_join, oracles, packing, prefix_trie, quality, quality_rules, secrets, sentencepiece_bpe, simhash, spelling, substring_dedup, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,6 +65,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.fit_and_judge(docs, trusted)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(_read(spark, sf_dir, "conversations"))
+
+
 def op12_simhash(spark, sf_dir):
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -84,7 +88,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_simhash": op12_simhash,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_prefix_trie": oracles.PREFIX_TRIE, "op13_spelling_variants": oracles.SPELLING}

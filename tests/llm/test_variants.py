@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from duespark.llm import simhash, spelling
-from duespark.llm.queries import QUERIES
+from duespark.llm.queries import ORACLES, QUERIES
 
 from .conftest import SCHEMA, odd_rows, prose
 
@@ -155,6 +156,10 @@ def test_spelling_query(spark, small):
     want = sortable(brute_variants(docs))
     assert sortable((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in found.collect()) == want
     assert sum(1 for r in want if r[1]) > 20
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    rows = con.execute(ORACLES["op13_spelling_variants"])
+    assert [c[0] for c in rows.description] == found.columns and sortable(rows.fetchall()) == want
 
 
 def test_spelling_of_odd_rows(spark, odd, empty):
