@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,3 +91,56 @@ def parse_amount(token: Column) -> Column:
     )
     value = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain).try_cast("double")
     return F.when(negative, -value).otherwise(value)
+
+
+def bound(column: Column, use: Callable[[Column], Column]) -> Column:
+    """use(column) with the column computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
+
+
+def _plain_number(body: Column) -> Column:
+    """Digits with a decimal point of an amount's digits and marks."""
+    commas, dots = (F.length(body) - F.length(F.replace(body, F.lit(c), F.lit(""))) for c in ",.")
+    without = lambda c: F.replace(body, F.lit(c), F.lit(""))
+    last = lambda c: F.substring_index(body, c, -1)
+    head = lambda c: F.replace(F.substring(body, F.lit(1), F.length(body) - F.length(last(c)) - 1), F.lit(c), F.lit(""))
+    at_end = lambda c: F.when(F.length(last(c)) <= 2, F.concat(head(c), F.lit("."), last(c))).otherwise(without(c))
+    dot_last = F.length(last(".")) < F.length(last(","))
+    return (
+        F.when((commas > 0) & (dots > 0), F.when(dot_last, without(",")).otherwise(F.replace(without("."), F.lit(","), F.lit("."))))
+        .when(commas > 0, at_end(","))
+        .when(dots > 1, at_end("."))
+        .when((dots == 1) & body.rlike(r"^[^.]+\.[^.]{3}$"), without("."))
+        .otherwise(body)
+    )
+
+
+def amount_token(token: Column) -> Column:
+    """MTH-06, lenient: the amount that a token's digits and marks say, whatever else it holds, with two decimals (halves away from zero); null if they say none.
+
+    The later of comma and dot is the decimal mark; of commas alone, or of several dots, the last one is if one or two
+    digits (or none) follow. A single dot before three digits parts thousands.
+    """
+    number = lambda plain: F.when(plain.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), plain).try_cast("double")
+    signed = lambda raw: F.when(raw.startswith("-"), -1).otherwise(1) * bound(bound(F.regexp_replace(raw, r"^[-+]", ""), _plain_number), number)
+    return F.round(bound(F.regexp_replace(token, r"[^0-9,.\-+]", ""), signed), 2)
+
+
+def repaired_amount(token: Column) -> Column:
+    """MTH-07: amount_token, without a leading digit that a currency sign was misread as.
+
+    Such an amount has a dot with something behind it, a fraction that isn't 00, five or six digits before it and a
+    first digit of 5 to 9; without that digit it is below 10,000 and between a fifth and a 120th of what was read.
+    """
+    marked = F.regexp_replace(token, r"[^0-9,.\-+]", "").rlike(r"\.[^.]+$")
+
+    def repaired(value: Column) -> Column:
+        def without_first(cents: Column) -> Column:
+            rest = cents % F.when(cents >= 10_000_000, 10_000_000).otherwise(1_000_000)
+            first = F.floor(cents / F.when(cents >= 10_000_000, 10_000_000).otherwise(1_000_000))
+            misread = marked & cents.between(1_000_000, 99_999_999) & (cents % 100 != 0) & (first >= 5) & (rest > 0) & (rest < 1_000_000) & (cents >= rest * 5) & (cents <= rest * 120)
+            return F.when(misread, F.when(value < 0, -1).otherwise(1) * rest / F.lit(100.0)).otherwise(value)
+
+        return bound(F.floor(F.abs(value) * 100 + F.lit(0.5)).cast("bigint"), without_first)
+
+    return bound(amount_token(token), repaired)
