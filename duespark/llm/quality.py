@@ -4,16 +4,16 @@ Every word, its character n-grams (with marks at the word's ends) and every pair
 row are hashed to learned vectors; all pairs of equal words share one. A document is the average
 of the vectors of its features and of NEUTRAL zero vectors, which keep texts of a few words
 near the bias. A softmax over a linear layer gives the classes. Training is stochastic gradient descent in numpy on the driver,
-over at most `sample` labelled documents: the bound is a parameter, and what reaches the driver
-is one short list of hashed features and counts for each of them.
+over at most `sample` labelled documents, however many rows an id has: the bound is a parameter, and what
+reaches the driver is one short list of hashed features and counts for each of them.
 
 Scoring reads all documents. Because the output layer is linear in the average, each bucket
 carries one number, its vector times the difference of the two output columns; a worker adds
 these up for the distinct words of a chunk of text and then over the documents' words.
 
 Defined results: a null or empty text, or one without words, has no features and gets the score
-of the bias alone; rows with a null label aren't learned from; repeated rows count as often as
-they occur; without any labelled row scores come from the first weights, near 0.5; an empty table gives no rows. Only the
+of the bias alone; rows with a null label aren't learned from; rows alike in id and text are learned from
+once for each label that the id has; without any labelled row scores come from the first weights, near 0.5; an empty table gives no rows. Only the
 id and the text are read.
 """
 
@@ -153,10 +153,14 @@ class SubwordClassifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> SubwordClassifier:
-    """Fits on at most `sample` labelled documents: those whose ids have the least hashes. labels: the id and the label, 0 or 1."""
-    chosen = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).dropna().orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
-    # The sample's bound is the bound of this broadcast.
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    """Fits on at most `sample` labelled documents, told apart by id, text and label: those whose ids, then digests of the text, come first. labels: the id and the label, 0 or 1."""
+    marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).dropna().orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # An id may have many rows, so the documents are chosen by their keys alone before any text is taken; `sample` bounds both broadcasts.
+    keys = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("label_id")).select("label_id", "label", F.md5("text").alias("digest")).distinct()
+    chosen = write_table(keys.orderBy(F.xxhash64("label_id"), "label_id", "digest", "label").limit(sample), "chosen")
+    same = (F.col("doc_id") == F.col("label_id")) & (F.md5("text") == F.col("digest"))
+    texts = rows.join(F.broadcast(chosen), same).groupBy("label_id", "digest", "label").agg(F.first("text").alias("text"))
     # From a written table the driver takes one partition after the other, as bytes: no feature becomes a Python object.
     features = write_table(_packed(_features(texts)), "features")
     rows = [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4")) for r in features.toLocalIterator()]

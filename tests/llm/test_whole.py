@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from duespark.llm import lm_score, substring_dedup
+from duespark.llm import lm_score, quality, substring_dedup
 from duespark.llm.queries import BYTE_BPE
 
 from .conftest import SCHEMA, prose, words
@@ -75,3 +75,18 @@ def test_experts_learn_from_every_document(spark, monkeypatch):
     n_ids = lm_score.id_counts(words, BYTE_BPE).sum() + 13
     lm_score.fit(learn, words, BYTE_BPE)
     assert abs(seen[-1] - lm_score.FIT_WEIGHT * fitted[-1] - n_ids) < 1e-3 * n_ids
+
+
+def test_one_id_on_many_rows_keeps_the_sample(spark, monkeypatch):
+    """A labelled id on a third of the rows: at most `sample` documents reach the driver, each text once."""
+    draw = random.Random(4)
+    rows = [(7, prose(draw, 8)) for _ in range(400)] + [(7, "the same text")] * 300 + [(i, prose(draw, 8)) for i in range(100, 900)] + [(None, "x")]
+    labels = spark.createDataFrame([(7, 1), (7, 0), (101, 0), (102, 1), (None, 1), (103, None)], "doc_id bigint, label int")
+    seen = []
+    monkeypatch.setattr(quality.SubwordClassifier, "fit", lambda self, rows: (seen.append(rows), self)[1])
+    docs = frame(spark, rows)
+    for sample in (10, 100):
+        quality.train(docs, labels, sample)
+        assert len(seen[-1]) == sample
+    quality.train(docs, labels)
+    assert len(seen[-1]) == 2 * 401 + 2 and [r[0] for r in seen[-1]].count(1) == 402
