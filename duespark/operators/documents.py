@@ -2,49 +2,98 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from duespark.functions.money import parse_amount, round_half_up
-
-#: Scores of labels on a line with an amount.
-LABELS = ((r"(grand total|amount payable|total amount due|net payable|balance due)", 120), (r"\btotal\b", 55), (r"(sub ?total|tax|gst|discount|round)", -85))
-AMOUNT = r"(?<![\w.])\d{1,3}(?:[,.]?\d{2,3})*(?:[.,]\d{1,2})?(?![\w])"
+from pyspark.sql.types import ArrayType, StringType
+
+from duespark.functions.money import amount_token, bound, round_half_up
+
+# What lines with a total say, what others say, and what amounts look like.
+_W = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+STRONG = r"(?i)(grand\s*total|amount\s*payable|amount\s*due|total\s*due|invoice\s*total|invoice\s*value|total\s*amount|net\s*payable|net\s*amount\s*payable|total\s*payable|amt\s*due|betrag)"
+WEAK = r"(?i)\b(total|payable|balance|amount\s*due|amt\s*due|amount)\b"
+NEGATIVE = r"(?i)(sub\s*total|subtotal|balance\s*due|tax(?:able)?|vat|gst|cgst|sgst|igst|mwst|u\s*st|ust|discount|round(?:ing)?\s*off|shipping|freight|delivery|paid|payment\s*received|advance|credit\s*note)"
+CURRENCY_MARK = r"(?i)[€£$₹]|(?:\bUSD\b|\bEUR\b|\bGBP\b|\bINR\b)"
+MONEY_MARK = r"(?i)[€£$₹]|(?:\bUSD\b|\bEUR\b|\bGBP\b|\bINR\b|\bAUD\b|\bCAD\b|\bJPY\b|\bAED\b|\bSGD\b|\bCHF\b|\bCNY\b)"
+FRACTION = r"[.,]\d{1,2}\b"
+AMOUNT = r"[-+]?(?:\d{1,3}(?:[,\s.]\d{2,3})+|\d+)(?:[.,]\d{1,2})?"
+LOOKAHEAD = 3
 #: Frequent short words of the languages told apart.
 LEXICON = {"en": "the and of to in is that for it with", "de": "der die und das ist nicht ein den mit von", "fr": "le la les des est et une dans que pour", "es": "el los del las una por con para que se"}
 SCRIPTS = {"hi": r"[ऀ-ॿ]", "ar": r"[؀-ۿ]", "zh": r"[一-鿿]", "ru": r"[Ѐ-ӿ]"}
 
 
-def label_score(line: Column) -> Column:
-    """TXT-03, labels alone."""
-    low = F.lower(line)
-    score = F.lit(0)
-    for pattern, value in LABELS:
-        score = score + F.when(low.rlike(pattern), value).otherwise(0)
-    return score
+def _says(line: Column, pattern: str) -> Column:
+    """Whether a line matches; word borders are those of ASCII letters, whatever stands beside."""
+    return line.rlike(pattern.replace(r"\b", _W))
 
 
 def magnitude_score(amount: Column) -> Column:
-    return F.when(amount >= 1000, 6).when(amount >= 100, 3).when(amount < 1, -10).otherwise(0)
+    """TXT-03: fractions and large amounts count for a total, years, millions and less than one against it."""
+    whole = F.floor(amount) == amount
+    size = F.when(amount >= 10_000, 6).when(amount >= 100, 4).when(amount >= 1, 1).otherwise(-5)
+    return F.when(whole, 0).otherwise(6) - F.when(whole & amount.between(1900, 2100), 18).otherwise(0) - F.when(amount >= 1_000_000, 8).otherwise(0) + size
+
+
+def line_score(line: Column, position: Column, lines: Column) -> Column:
+    """TXT-03: what a line's label, currency, place in the text and percent sign say."""
+    label = F.when(_says(line, STRONG), 120).when(_says(line, WEAK), 55).otherwise(0) - F.when(_says(line, NEGATIVE), 85).otherwise(0)
+    return label + F.when(_says(line, CURRENCY_MARK), 6).otherwise(0) + place_score(position, lines) - F.when(line.contains("%"), 12).otherwise(0)
+
 
+def place_score(position: Column, lines: Column) -> Column:
+    return F.when(position >= F.floor(lines * F.lit(0.6)), 8).otherwise(0)
 
-def line_score(line: Column, position: Column, lines: Column, amount: Column) -> Column:
-    """TXT-03: labels, currency marks, place in the text, percent signs, magnitude."""
-    return label_score(line) + F.when(line.rlike("(₹|rs\\.?|inr|\\$|€)"), 6).otherwise(0) + F.when(position * 2 >= lines, 8).otherwise(0) + F.when(line.contains("%"), -12).otherwise(0) + magnitude_score(amount)
+
+def amounts_in(line: Column) -> Column:
+    """The positive amounts of a line, in order; amounts written together with two decimals each are parted."""
+    even = F.regexp_replace(F.replace(line, F.lit("\u00a0"), F.lit(" ")), r"\s+", " ")
+
+    def parted(token: Column) -> Column:
+        compact = F.regexp_replace(token, r"\s+", "")
+        each = lambda mark: F.when(compact.rlike(rf"^\d+{mark}\d{{2}}(?:\d+{mark}\d{{2}})+$"), F.regexp_extract_all(compact, F.lit(rf"\d+{mark}\d{{2}}"), F.lit(0)))
+        return F.coalesce(each(r"\."), each(","), F.array(token))
+
+    tokens = F.flatten(F.transform(F.regexp_extract_all(even, F.lit(AMOUNT), F.lit(0)), parted))
+    return F.filter(F.transform(tokens, amount_token), lambda a: a.isNotNull() & (a > 0))
 
 
 def totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """TXT-02: each document's best amount: score, then amount, then the later line. All within the row, so nothing is shuffled."""
-    lines = F.filter(F.split(F.col(text_col), r"\r?\n"), lambda x: F.trim(x) != "")
+    """TXT-02: each document's total: score, amount, line (of the lines that aren't empty); null if it has none.
+
+    Candidates are the amounts of lines labelled as a total, or else of up to three lines after such a one, until a
+    line of words without an amount; labels that score nothing give none. Without candidates, amounts of other lines
+    that look like money are. The best score wins, then the larger amount, then the later line. All within the row.
+    """
+    lines = F.filter(F.transform(F.split(F.translate(F.col(text_col), "\r", "\n"), r"\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     df = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
+    df = df.withColumns({"n": F.size("lines"), "amounts": F.transform("lines", amounts_in)})
+    of = lambda k: F.coalesce(F.get("amounts", k), F.array().cast("array<double>"))
+    ends = lambda k: F.coalesce(F.get("lines", k).rlike("[A-Za-z]"), F.lit(True)) & (F.size(of(k)) == 0)
+
+    def after(k: Column) -> Column:
+        found = of(k + LOOKAHEAD)
+        for step in range(LOOKAHEAD - 1, 0, -1):
+            found = F.concat(of(k + step), F.when(ends(k + step + 1), F.array().cast("array<double>")).otherwise(found))
+        return found
+
+    def labelled(line: Column, k: Column) -> Column:
+        score = line_score(line, k, F.col("n"))
+        near = F.when(F.size(of(k)) > 0, of(k)).otherwise(after(k))
+        scored = bound(score, lambda s: F.when(s > 0, F.transform(near, lambda a: F.struct((s + magnitude_score(a)).alias("score"), a.alias("amount"), k.alias("line")))))
+        return F.when(_says(line, STRONG) | _says(line, WEAK), scored)
 
-    def candidates(line, k):
-        found = F.transform(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(0)), lambda a: parse_amount(a))
-        return F.transform(F.filter(found, lambda a: a.isNotNull() & (a > 0)), lambda a: F.struct(line_score(line, k, F.size("lines"), a).alias("score"), a.alias("amount"), k.alias("line")))
+    def like_money(line: Column, k: Column) -> Column:
+        fits = ~_says(line, NEGATIVE) & (_says(line, WEAK) | _says(line, MONEY_MARK) | _says(line, FRACTION) | F.exists(of(k), lambda a: F.floor(a) != a))
+        return F.when(fits, F.transform(of(k), lambda a: F.struct((place_score(k, F.col("n")) + magnitude_score(a)).alias("score"), a.alias("amount"), k.alias("line"))))
 
-    best = F.array_max(F.flatten(F.transform("lines", candidates)))
-    df = df.select("doc_id", best.alias("b"))
-    return df.select("doc_id", F.col("b.score").cast("bigint").alias("score"), F.col("b.amount").alias("amount"), F.col("b.line").cast("bigint").alias("line"))
+    best = lambda of_line: F.array_max(F.flatten(F.array_compact(F.transform("lines", of_line))))
+    df = df.withColumn("labelled", best(labelled))
+    df = df.withColumn("best", F.when(F.col("labelled").isNotNull(), F.col("labelled")).otherwise(best(like_money)))
+    return df.select("doc_id", F.col("best.score").cast("bigint").alias("score"), F.col("best.amount").alias("amount"), F.col("best.line").cast("bigint").alias("line"))
 
 
 def currency(text: Column) -> Column:
@@ -71,11 +120,33 @@ def without_repeated_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x, k: (k == 0) | ~F.coalesce(F.get(lines, k - 1) == x, F.lit(False))), "\n")
 
 
-def chunks(text: Column, most: int = 6000) -> Column:
-    """TXT-08: lines packed greedily into chunks of at most `most` characters; a longer line is a chunk of its own."""
-    step = lambda s, line: F.when(F.length(s["open"]) == 0, F.struct(s["done"].alias("done"), line.alias("open"))).when(F.length(s["open"]) + 1 + F.length(line) <= most, F.struct(s["done"].alias("done"), F.concat(s["open"], F.lit("\n"), line).alias("open"))).otherwise(F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), line.alias("open")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["open"])), lambda c: F.length(F.trim(c)) > 0))
+def chunks_of(text: str, most: int) -> list[str]:
+    """Pages, or lines where there is one page only, put together while they stay within three quarters of `most`."""
+    target = most * 3 // 4
+    pages = [p for p in re.split(r"\n(?=\f)|(?<=\f)\n|\f", text) if p.strip()]
+    parts, sign = (pages, 0) if len(pages) > 1 else (text.split("\n"), 1)
+    out, open_parts, size = [], [], 0
+    for part in parts:
+        if size and size + len(part) + sign > target:
+            out.append("\n".join(open_parts))
+            open_parts, size = [part], len(part)
+        elif size:
+            open_parts.append(part)
+            size += 1 + len(part)
+        else:
+            open_parts, size = [part], len(part)
+    last = "\n".join(open_parts)
+    return [*out, last] if last.strip() else out or [text]
+
+
+def chunks(text: Column, most: int = 8000) -> Column:
+    """TXT-08: a text's chunks for a model that takes `most` characters. A longer page or line is a chunk of its own; a blank text is one chunk, a null one null."""
+    return _chunks(text, F.lit(most))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _chunks(texts: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else chunks_of(t, int(m)) for t, m in zip(texts, most, strict=True)], dtype=object)
 
 
 def strategy(text: Column, single_pass: int = 6000) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,18 +90,18 @@ def overlap_assignment(left: DataFrame, right: DataFrame, least: float = 0.55) -
     """
 
     def assign(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for p in a.sort_values("box_id").itertuples():
-            best = (0.0, None)
-            for q in b.sort_values("box_id").itertuples():
-                if q.box_id not in used:
-                    w, h = min(p.x2, q.x2) - max(p.x1, q.x1), min(p.y2, q.y2) - max(p.y1, q.y1)
-                    area = min((p.x2 - p.x1) * (p.y2 - p.y1), (q.x2 - q.x1) * (q.y2 - q.y1))
-                    if w > 0 and h > 0 and area > 0 and w * h / area > best[0]:
-                        best = (w * h / area, q.box_id)
-            if best[0] >= least:
-                used.add(best[1])
-                out.append((key[0], p.box_id, best[1], best[0]))
+        a, b = a.sort_values("box_id"), b.sort_values("box_id")
+        p, q = (x[["x1", "y1", "x2", "y2"]].to_numpy(float) for x in (a, b))
+        area = lambda r: (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1])
+        free, out = np.ones(len(q), bool), []
+        for box_id, r, size in zip(a["box_id"], p, area(p), strict=True):
+            w, h = np.minimum(r[2], q[:, 2]) - np.maximum(r[0], q[:, 0]), np.minimum(r[3], q[:, 3]) - np.maximum(r[1], q[:, 1])
+            low = np.minimum(size, area(q))
+            share = np.where(free & (w > 0) & (h > 0) & (low > 0), w * h / np.where(low > 0, low, 1), 0.0)
+            if len(share) and share.max() >= least:
+                k = int(share.argmax())
+                free[k] = False
+                out.append((key[0], box_id, b["box_id"].iloc[k], share[k]))
         return pd.DataFrame(out, columns=["page_id", "box_id", "target_id", "overlap"])
 
     return left.groupBy("page_id").cogroup(right.groupBy("page_id")).applyInPandas(assign, "page_id bigint, box_id bigint, target_id bigint, overlap double")

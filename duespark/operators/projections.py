@@ -42,3 +42,20 @@ def ranked(rows: DataFrame, keys: list[str], coarse: Column, order: list[Column]
     within = Window.partitionBy(*keys, "__coarse").orderBy(*order)
     numbered = df.join(before, [*keys, "__coarse"]).withColumn("rank", F.col("__before") + F.row_number().over(within))
     return numbered.select(*rows.columns, "rank")
+
+
+def locale_order(label: Column) -> Column:
+    """SRT-07: a label that sorts as people read: by letters, then accents, then case, small letters first."""
+    return F.collate(label, "UNICODE")
+
+
+def same_letters(label: Column) -> Column:
+    """SRT-07: a label that equals, groups and joins with those of the same letters, whatever their case and accents."""
+    return F.collate(label, "UNICODE_CI_AI")
+
+
+def labelled(rows: DataFrame, code: str, name: str) -> DataFrame:
+    """SRT-07: each code once, with the label "name (code)", or the code where there is no name, in the order of a reader's language; ties by code. Of several names of a code the least is taken."""
+    one = rows.filter(F.col(code) != "").groupBy(code).agg(F.min(F.nullif(F.col(name), F.lit(""))).alias(name))
+    label = F.when(F.col(name).isNotNull(), F.concat(F.col(name), F.lit(" ("), F.col(code), F.lit(")"))).otherwise(F.col(code))
+    return one.withColumn("label", label).orderBy(locale_order(F.col("label")), code)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duespark.functions.dates import days_between
 from duespark.functions.text import contains_ignoring_case, prefix_match, sequence_match, word_overlap
+from duespark.operators.calendar import with_working_days, working_days_between
 
 WEIGHTS = {"exact": 50, "close": 10, "number": 30, "vendor": 20, "date": 10}
 TOLERANCE = 100
 MATCH_ABOVE, SUGGEST_FROM = 50, 30
+#: Fixed value: invoices that one payment is split over, at most.
+MOST_INVOICES = 10
+#: Fixed value: working days within which a date is as good as met.
+WORKING_DAYS = 2
 
 
 def amount_score(debit: Column, net: Column, tolerance: int = TOLERANCE, weights: dict = WEIGHTS) -> Column:
@@ -59,10 +66,19 @@ def band_join(left: DataFrame, right: DataFrame, left_amount: str, right_amount:
     return near.join(other, [*keys, "__bucket"]).filter(F.abs(F.col(left_amount) - F.col(right_amount)) <= tolerance).drop("__bucket")
 
 
-def candidates(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Scored pairs. txns: txn_id, tenant_id, debit_minor, paid_at, description; invoices: invoice_id, tenant_id, net_minor, number, vendor_name, created_at, approved_at, due_at."""
+def candidates(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE, calendar: DataFrame | None = None) -> DataFrame:
+    """Scored pairs. txns: txn_id, tenant_id, debit_minor, paid_at, description; invoices: invoice_id, tenant_id, net_minor, number, vendor_name, created_at, approved_at, due_at.
+
+    E-04: with a calendar (operators.calendar), a payment within two working days of a reference date has the full date score.
+    """
     pairs = band_join(txns, invoices, "debit_minor", "net_minor", tolerance, ["tenant_id"])
-    score = amount_score(F.col("debit_minor"), F.col("net_minor"), tolerance) + number_score(F.col("description"), F.col("number")) + vendor_score(F.col("description"), F.col("vendor_name")) + date_score(F.col("paid_at"), F.col("created_at"), F.col("approved_at"), F.col("due_at"))
+    dates = ["created_at", "approved_at", "due_at"]
+    dated = date_score(F.col("paid_at"), *(F.col(c) for c in dates))
+    if calendar is not None:
+        pairs = with_working_days(pairs, calendar, n_paid="paid_at", **{f"n_{c}": c for c in dates})
+        near = [F.coalesce(working_days_between(F.col("n_paid"), F.col(f"n_{c}")) <= WORKING_DAYS, F.lit(False)) for c in dates]
+        dated = F.when(near[0] | near[1] | near[2], WEIGHTS["date"]).otherwise(dated)
+    score = amount_score(F.col("debit_minor"), F.col("net_minor"), tolerance) + number_score(F.col("description"), F.col("number")) + vendor_score(F.col("description"), F.col("vendor_name")) + dated
     return pairs.select("tenant_id", "txn_id", "invoice_id", score.cast("bigint").alias("score"))
 
 
@@ -71,9 +87,9 @@ def best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("tenant_id", "txn_id").agg(F.max_by(F.struct("invoice_id", "score"), F.struct("score", -F.col("invoice_id"))).alias("b")).select("tenant_id", "txn_id", "b.invoice_id", "b.score")
 
 
-def reconcile(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """REC-05: txn_id, invoice_id, score, state; an invoice may serve several transactions."""
-    found = best(candidates(txns, invoices, tolerance))
+def reconcile(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE, calendar: DataFrame | None = None) -> DataFrame:
+    """REC-05: txn_id, invoice_id, score, state; an invoice may serve several transactions. E-04 with a calendar."""
+    found = best(candidates(txns, invoices, tolerance, calendar))
     out = txns.select("tenant_id", "txn_id").join(found, ["tenant_id", "txn_id"], "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint")).withColumn("state", decision(F.col("score")))
     return out.select("tenant_id", "txn_id", F.when(F.col("state") != "unmatched", F.col("invoice_id")).alias("invoice_id"), "score", "state")
 
@@ -85,20 +101,44 @@ def summary(result: DataFrame) -> DataFrame:
     return df.withColumn("match_permille", F.floor(F.col("matched") * 1000 / (F.col("matched") + F.col("suggested") + F.col("unmatched"))).cast("bigint"))
 
 
-def split_matches(pairs: DataFrame, tolerance: int = TOLERANCE, most: int = 10) -> DataFrame:
-    """E-01: for each transaction the smallest subset of its candidate invoices that adds up to the debit.
+def split_candidates(pairs: DataFrame, tolerance: int = TOLERANCE, most: int = MOST_INVOICES) -> DataFrame:
+    """E-01, the limit that the rule itself has: of the candidates from the largest down, those before whose amounts the debit is reached; of these the `most` that are nearest to the debit. Ties go to the least invoice."""
+    largest = Window.partitionBy("txn_id").orderBy(F.desc("net_minor"), "invoice_id")
+    before = F.coalesce(F.sum("net_minor").over(largest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nearest = Window.partitionBy("txn_id").orderBy(F.abs(F.col("debit_minor") - F.col("net_minor")), "invoice_id")
+    fits = pairs.filter(F.col("net_minor") <= F.col("debit_minor") + tolerance).withColumn("before", before).filter("before <= debit_minor")
+    return fits.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= most).drop("before", "place")
+
+
+def split_matches(pairs: DataFrame, tolerance: int = TOLERANCE, most: int = MOST_INVOICES) -> DataFrame:
+    """E-01: for each transaction the smallest set of its candidate invoices that adds up to the debit: txn_id, ids, sum.
 
-    pairs: txn_id, debit_minor, invoice_id, net_minor. Subsets grow level by level as joins; amounts above
-    the debit are cut off, and a subset only grows by larger invoice ids, so each is built once.
+    pairs: txn_id, debit_minor, invoice_id, net_minor. Of sets of one size the nearest sum wins, then the least ids. All
+    sums of a transaction's at most ten candidates are made at once, for many transactions in one array.
     """
-    items = pairs.filter(F.col("net_minor") <= F.col("debit_minor") + tolerance)
-    level = items.select("txn_id", "debit_minor", F.col("invoice_id").alias("last"), F.col("net_minor").alias("sum"), F.array("invoice_id").alias("ids"))
-    found = level.filter(F.abs(F.col("debit_minor") - F.col("sum")) <= tolerance)
-    for _ in range(most - 1):
-        nxt = level.join(items.select("txn_id", "invoice_id", "net_minor"), "txn_id").filter((F.col("invoice_id") > F.col("last")) & (F.col("sum") + F.col("net_minor") <= F.col("debit_minor") + tolerance))
-        level = nxt.select("txn_id", "debit_minor", F.col("invoice_id").alias("last"), (F.col("sum") + F.col("net_minor")).alias("sum"), F.concat("ids", F.array("invoice_id")).alias("ids"))
-        found = found.unionByName(level.filter(F.abs(F.col("debit_minor") - F.col("sum")) <= tolerance))
-    return found.groupBy("txn_id").agg(F.min_by(F.struct("ids", "sum"), F.struct(F.size("ids"), F.abs(F.col("debit_minor") - F.col("sum")), "ids")).alias("b")).select("txn_id", "b.ids", "b.sum")
+    item = F.array_sort(F.collect_list(F.struct("invoice_id", "net_minor")))
+    rows = split_candidates(pairs, tolerance, most).groupBy("txn_id", "debit_minor").agg(item.alias("i"))
+    masks = np.arange(1, 1 << most)
+    chosen = (masks[:, None] >> np.arange(most)) & 1
+    size = chosen.sum(axis=1)
+
+    def run(batches):
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            txn, debit, ids, nets = (batch.column(k) for k in range(4))
+            lists = nets.to_pylist()
+            amounts = np.array([[*x, *[0] * (most - len(x))] for x in lists], np.int64).reshape(-1, most)
+            off = np.abs(amounts @ chosen.T - debit.to_numpy()[:, None])
+            out = []
+            for k, own in enumerate(ids.to_pylist()):
+                ok = np.flatnonzero((off[k] <= tolerance) & (masks < 1 << len(own)))
+                if len(ok):
+                    best = min((int(size[m]), int(off[k, m]), [x for x, c in zip(own, chosen[m], strict=False) if c], int(amounts[k] @ chosen[m])) for m in ok)
+                    out.append((txn[k].as_py(), best[2], best[3]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["txn_id", "ids", "sum"])
+
+    flat = rows.select("txn_id", F.col("debit_minor").cast("bigint"), F.transform("i", lambda x: x["invoice_id"].cast("bigint")).alias("ids"), F.transform("i", lambda x: x["net_minor"].cast("bigint")).alias("nets"))
+    return flat.mapInArrow(run, "txn_id bigint, ids array<bigint>, sum bigint")
 
 
 def apply_links(txns: DataFrame, invoices: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

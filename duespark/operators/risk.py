@@ -46,13 +46,13 @@ def above_expected(total: Column, expected_max: Column) -> Column:
 
 def below_minimum(total: Column, minimum: Column) -> Column:
     """RSK-02."""
-    return signal((total > 0) & (total < minimum), "TOTAL_AMOUNT_BELOW_MINIMUM", "financial", "info", 5)
+    return signal((total > 0) & (total < minimum), "TOTAL_AMOUNT_BELOW_MINIMUM", "financial", "info", 0)
 
 
 def due_too_far(due: Column, as_of: Column, days: int) -> Column:
-    """RSK-03."""
-    ahead = F.floor(days_between(due, as_of))
-    return signal(ahead > days, "DUE_DATE_TOO_FAR", "financial", "warning", F.least(F.lit(20), round_half_up(8 + (ahead - days) / F.lit(4.0))))
+    """RSK-03, in days of the calendar."""
+    ahead = F.datediff(due.cast("date"), as_of.cast("date"))
+    return signal(ahead > days, "DUE_DATE_TOO_FAR", "data-quality", "warning", F.least(F.lit(20), round_half_up(8 + (ahead - days) / F.lit(4.0))))
 
 
 def missing_fields(**fields: Column) -> Column:
@@ -68,10 +68,10 @@ def pan_level(pan: Column, gstin: Column) -> Column:
 
 
 def irn_signal(irn: Column, gstin: Column, total: Column, threshold: int) -> Column:
-    """RSK-06: needed from a threshold on for registered vendors; else checked for its form."""
-    needed = gstin.rlike(GSTIN) & (total >= threshold)
+    """RSK-06: needed above a threshold where there is a tax identifier; else checked for its form."""
     empty = F.coalesce(irn, F.lit("")) == ""
-    return F.when(empty & F.coalesce(needed, F.lit(False)), "IRN_MISSING").when(~empty & ~irn.rlike(IRN), "IRN_INVALID")
+    needed = (F.coalesce(gstin, F.lit("")) != "") & F.coalesce(total > threshold, F.lit(False))
+    return F.when(empty & needed, "IRN_MISSING").when(~empty & ~F.trim(irn).rlike(IRN), "IRN_FORMAT_INVALID")
 
 
 def msme_state(invoice_date: Column, as_of: Column) -> Column:
@@ -85,9 +85,30 @@ def bank_changed(account_hash: Column, history: Column) -> Column:
     return F.coalesce((F.size(history) > 0) & ~F.array_contains(history, account_hash), F.lit(False))
 
 
-def sender_signal(domain: Column, known: Column) -> Column:
-    """RSK-09."""
-    return F.when(domain.isNull(), None).when(domain.isin(*FREEMAIL), "SENDER_FREEMAIL").when(F.size(known) == 0, "SENDER_FIRST_TIME").when(~F.array_contains(known, domain), "SENDER_DOMAIN_MISMATCH")
+def sender_signal(domain: Column, known: Column, freemail: tuple[str, ...] = FREEMAIL) -> Column:
+    """RSK-09: a domain that the vendor hasn't used; freemail is told only where the vendor has written from a domain of its own."""
+    own = F.exists(known, lambda d: ~F.lower(d).isin(*freemail))
+    used = F.exists(known, lambda d: F.lower(d) == F.lower(domain))
+    fresh = F.when(F.lower(domain).isin(*freemail) & own, "SENDER_FREEMAIL").otherwise("SENDER_DOMAIN_MISMATCH")
+    return F.when(F.coalesce(domain, F.lit("")) == "", None).when(F.coalesce(F.size(known), F.lit(0)) <= 0, "SENDER_FIRST_TIME").when(~used, fresh)
+
+
+# Every code with its category, severity and penalty; null where the amount decides.
+SIGNALS = {
+    "PAN_FORMAT_INVALID": ("compliance", "warning", 4), "PAN_GSTIN_MISMATCH": ("compliance", "warning", 4), "TDS_NO_PAN_PENALTY_RATE": ("compliance", "critical", 10), "TDS_SECTION_AMBIGUOUS": ("compliance", "warning", 4),
+    "TDS_BELOW_THRESHOLD": ("compliance", "info", 0), "TDS_BELOW_ANNUAL_THRESHOLD": ("compliance", "info", 0), "TDS_ANNUAL_THRESHOLD_CROSSED": ("compliance", "warning", 3), "TDS_BACKDATED_THRESHOLD_ADJUSTMENT": ("compliance", "warning", 5),
+    "TDS_SECTION_197_APPLIED": ("compliance", "info", 0), "TDS_CATCHUP_RATE_VARIANCE": ("compliance", "warning", 6), "TOTAL_AMOUNT_ABOVE_EXPECTED": ("financial", "warning", None), "TOTAL_AMOUNT_BELOW_MINIMUM": ("financial", "info", 0),
+    "DUE_DATE_TOO_FAR": ("data-quality", "warning", None), "MISSING_MANDATORY_FIELDS": ("data-quality", "warning", 4), "DUPLICATE_INVOICE_NUMBER": ("fraud", "critical", 10), "VENDOR_BANK_CHANGED": ("fraud", "critical", 10),
+    "IRN_MISSING": ("compliance", "warning", 4), "IRN_FORMAT_INVALID": ("compliance", "warning", 4), "MSME_PAYMENT_OVERDUE": ("compliance", "critical", 10), "MSME_PAYMENT_DUE_SOON": ("compliance", "warning", 4),
+    "SENDER_FREEMAIL": ("fraud", "warning", 4), "SENDER_DOMAIN_MISMATCH": ("fraud", "warning", 4), "SENDER_FIRST_TIME": ("fraud", "info", 0), "BANK_PAYMENT_VERIFIED": ("financial", "info", 0),
+}
+
+
+def row_signals(amounts: list[Column], codes: list[Column], conditions: dict[str, Column]) -> Column:
+    """TAX-07: the list of a row's signals: those that bring their penalty (amounts), those of code columns, those of conditions by code; null and false give none."""
+    known = lambda code, k: F.coalesce(*(F.when(code == c, F.lit(v[k])) for c, v in SIGNALS.items() if v[2] is not None))
+    coded = [F.when(c.isNotNull(), F.struct(c.alias("code"), known(c, 0).alias("category"), known(c, 1).alias("severity"), known(c, 2).cast("bigint").alias("penalty"))) for c in codes]
+    return F.array_compact(F.array(*amounts, *coded, *(signal(holds, code, *SIGNALS[code]) for code, holds in conditions.items())))
 
 
 def filtered_signals(signals: Column, disabled: list[str], severities: dict[str, str], penalties: dict[str, int]) -> Column:

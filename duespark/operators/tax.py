@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duespark.functions.dates import fiscal_year
 from duespark.functions.money import round_half_up, share_bps
 from duespark.functions.text import PAN
+from duespark.operators.folds import ordered_fold
 
 NO_PAN_BPS = 2000
 
@@ -86,22 +87,32 @@ def ledger(entries: DataFrame, bps: int, single: int, annual: int) -> DataFrame:
 def ledger_fold(entries: DataFrame) -> DataFrame:
     """TAX-05 in general: rows bring their own bps, single and annual thresholds, and opening_base and opening_tax of their ledger.
 
-    A ledger (vendor, section, year) is folded in order within one row's array; it holds one vendor's
-    invoices of one section and year, which is what one vendor bills, not a share of the table.
+    A ledger (vendor, section, year) is folded over its rows in order, of which only the base and the tax so far are held.
     """
     df = entries.withColumn("fy", fiscal_year(F.col("invoice_date")))
-    item = F.struct("invoice_date", "invoice_id", "line", "base_minor", "bps", "single", "annual")
-    df = df.groupBy("vendor_id", "section", "fy").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("opening_base").alias("ob"), F.max("opening_tax").alias("ot"))
-    empty = F.array().cast("array<struct<invoice_id:bigint,line:bigint,base_minor:bigint,tax_minor:bigint,crossed:boolean,state:string>>")
-    start = F.struct(F.coalesce("ob", F.lit(0)).cast("bigint").alias("base"), F.coalesce("ot", F.lit(0)).cast("bigint").alias("tax"), empty.alias("out"))
-
-    def step(s, x):
-        r = threshold_tax(x["base_minor"], s["base"], s["tax"], x["bps"], x["single"], x["annual"])
-        row = F.struct(x["invoice_id"].alias("invoice_id"), x["line"].alias("line"), x["base_minor"].alias("base_minor"), r["tax"].alias("tax_minor"), r["crossed"].alias("crossed"), r["state"].alias("state"))
-        return F.struct((s["base"] + x["base_minor"]).alias("base"), (s["tax"] + r["tax"]).alias("tax"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = df.select("vendor_id", "section", "fy", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select("vendor_id", "section", "fy", "r.*")
+    w = Window.partitionBy("vendor_id", "section", "fy")
+    opening = {f"opening_{x}": F.coalesce(F.max(f"opening_{x}").over(w), F.lit(0)).cast("bigint") for x in ("base", "tax")}
+    df = df.withColumns(opening).select("vendor_id", "section", "fy", "invoice_date", "invoice_id", "line", "base_minor", "bps", "single", "annual", "opening_base", "opening_tax")
+    share = lambda base, bps: (base * bps + 5000) // 10000
+
+    def step(state, x):
+        if state["base"] is None:
+            state["base"], state["tax"] = x["opening_base"], x["opening_tax"]
+        base, before, annual = x["base_minor"], state["base"], x["annual"]
+        if annual > 0 and before + base <= annual:
+            tax, name = 0, "BELOW_ANNUAL"
+        elif annual > 0 and before <= annual:
+            tax, name = max(0, share(before + base, x["bps"]) - state["tax"]), "CROSSED"
+        elif x["single"] > 0 and base < x["single"]:
+            tax, name = 0, "BELOW_SINGLE"
+        else:
+            tax, name = share(base, x["bps"]), "ABOVE"
+        state["base"], state["tax"] = before + base, state["tax"] + tax
+        yield x["vendor_id"], x["section"], x["fy"], x["invoice_id"], x["line"], base, tax, name == "CROSSED", name
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("vendor_id", "section", "fy", "invoice_id", "line"))
+    return ordered_fold(df, ["vendor_id", "section", "fy"], ["invoice_date", "invoice_id", "line"], lambda: {"base": None, "tax": None}, step, f"{kinds}, base_minor bigint, tax_minor bigint, crossed boolean, state string")
+
 
 
 def section_rule(items: DataFrame, rules: DataFrame) -> DataFrame:

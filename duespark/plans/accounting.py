@@ -82,8 +82,8 @@ SELECT invoice_id, line, CAST(CASE WHEN coalesce(sub, 0) > 0 THEN sub WHEN igst
     "tax05_ledger_fold": f"{_ledger} SELECT vendor_id, section, fy, invoice_id, line, base_minor, tax_minor, crossed, state FROM t",
     "jn11_win01_rec05_reconcile": f"{_reconcile} SELECT * FROM f",
     "ag24_e05_match_summary": f"{_reconcile} SELECT tenant_id, {_n('matched')} AS matched, {_n('suggested')} AS suggested, {_n('unmatched')} AS unmatched, {_n('matched')} * 1000 // count(*) AS match_permille FROM f GROUP BY 1",
-    "rsk_cls_cnf_signals": f"""{ctes('invoices')}, a AS (SELECT *, total_minor > 20000000 AS s1, total_minor > 0 AND total_minor < 1000000 AS s2, floor((epoch_us(due_at) - epoch_us(TIMESTAMP '1998-01-01')) / 86400000000.0) AS ahead, floor((epoch_us(TIMESTAMP '1998-01-01') - epoch_us(created_at)) / 86400000000.0) AS age FROM invoices),
-b AS (SELECT *, ahead > 60 AS s3, CASE WHEN s1 THEN least(30, floor(15 + 25 * ((total_minor - 20000000) / 20000000) + 0.5)) ELSE 0 END + CASE WHEN s2 THEN 5 ELSE 0 END + CASE WHEN ahead > 60 THEN least(20, floor(8 + (ahead - 60) / 4.0 + 0.5)) ELSE 0 END AS pen,
+    "rsk_cls_cnf_signals": f"""{ctes('invoices')}, a AS (SELECT *, total_minor > 20000000 AS s1, total_minor > 0 AND total_minor < 1000000 AS s2, datediff('day', TIMESTAMP '1998-01-01', due_at) AS ahead, floor((epoch_us(TIMESTAMP '1998-01-01') - epoch_us(created_at)) / 86400000000.0) AS age FROM invoices),
+b AS (SELECT *, ahead > 60 AS s3, CASE WHEN s1 THEN least(30, floor(15 + 25 * ((total_minor - 20000000) / 20000000) + 0.5)) ELSE 0 END + CASE WHEN ahead > 60 THEN least(20, floor(8 + (ahead - 60) / 4.0 + 0.5)) ELSE 0 END AS pen,
   CASE WHEN status = 'FAILED_PARSE' THEN 'FAILED' WHEN total_minor > 40000000 THEN 'CRITICAL_RISK' WHEN invoice_id % 3 <> 0 THEN 'MISSING_GSTIN' WHEN status = 'NEEDS_REVIEW' THEN 'NEEDS_REVIEW' END AS reason FROM a),
 c AS (SELECT *, CAST(least(30, pen) AS BIGINT) AS penalty, CAST(s1 AS INTEGER) + CAST(s2 AS INTEGER) + CAST(s3 AS INTEGER) AS n FROM b),
 g AS (SELECT *, CAST(least(100, greatest(0, floor(CAST(0.9 AS DOUBLE) * 100 * CAST(0.65 AS DOUBLE) + 80 * CAST(0.35 AS DOUBLE) - least(25, 4 * n) - penalty + 0.5))) AS BIGINT) AS confidence FROM c)

@@ -244,9 +244,9 @@ h AS (SELECT file_id, count(*) AS n, count(*) FILTER (s % 100 = g) AS hits, min(
     "rsk05_rsk09_tax08_cls02_signals": f"""{ctes('vendors')}, a AS (SELECT vendor_id, {_pick('vendor_id', None, 'bad', 'ABCPD1234E', 'ABCCD1234E', 'AAACA1111A')} AS pan, {_pick('vendor_id', None, '29ABCPD1234E1Z5', '27ABCCD1234E1Z5')} AS gstin, {_pick('vendor_id', None, '', 'zz', 'ab' * 32)} AS irn, {_pick('vendor_id', None, 'gmail.com', 'a.com', 'b.com')} AS domain FROM vendors),
 b AS (SELECT *, CASE WHEN regexp_matches(gstin, '{GSTIN}') THEN substr(gstin, 3, 10) END AS own, vendor_id * 1000 > 100000 AS above FROM a)
 SELECT vendor_id, CASE WHEN coalesce(pan, '') = '' THEN 'missing' WHEN NOT regexp_matches(pan, '{PAN}') THEN 'invalid' WHEN own <> pan THEN 'mismatch' WHEN own = pan THEN 'L2' ELSE 'L1' END AS pan_level,
-  CASE WHEN coalesce(irn, '') = '' THEN CASE WHEN own IS NOT NULL AND vendor_id * 1000 >= 50000 THEN 'IRN_MISSING' END WHEN NOT regexp_matches(irn, '{IRN}') THEN 'IRN_INVALID' END AS irn,
+  CASE WHEN coalesce(irn, '') = '' THEN CASE WHEN gstin <> '' AND vendor_id * 1000 > 50000 THEN 'IRN_MISSING' END WHEN NOT regexp_matches(irn, '{IRN}') THEN 'IRN_FORMAT_INVALID' END AS irn,
   CASE vendor_id % 3 WHEN 0 THEN false WHEN 1 THEN vendor_id % 4 > 1 ELSE vendor_id % 4 <> 2 END AS bank_changed,
-  CASE WHEN domain = 'gmail.com' THEN 'SENDER_FREEMAIL' WHEN domain IS NOT NULL AND vendor_id % 2 = 0 THEN 'SENDER_FIRST_TIME' WHEN domain <> 'a.com' THEN 'SENDER_DOMAIN_MISMATCH' END AS sender,
+  CASE WHEN domain IS NULL THEN NULL WHEN vendor_id % 2 = 0 THEN 'SENDER_FIRST_TIME' WHEN domain = 'gmail.com' THEN 'SENDER_FREEMAIL' WHEN domain <> 'a.com' THEN 'SENDER_DOMAIN_MISMATCH' END AS sender,
   CASE WHEN above THEN 'TOTAL_AMOUNT_ABOVE_EXPECTED:critical:7' ELSE '' END AS signals, CASE WHEN vendor_id % 5 = 0 THEN 'PENDING_TRIAGE' WHEN vendor_id % 2 > 0 OR above THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS status FROM b""",
     "tax02_effective_rates": f"""{ctes('entries')} SELECT invoice_id, line, CAST(CASE WHEN invoice_id % 10 = 0 THEN 75 WHEN vendor_id % 4 > 1 THEN 2000 WHEN vendor_id % 4 = 0 THEN 200 ELSE 100 END AS BIGINT) AS bps, CASE WHEN invoice_id % 10 = 0 THEN 'section-197' WHEN vendor_id % 4 > 1 THEN '206aa-no-pan' ELSE 'standard' END AS rate_source FROM entries""",
     "dml10_linked_transactions": f"""{_links} SELECT txn_id, CASE WHEN action IN ('manual', 'match') THEN new WHEN action = 'unmatch' THEN NULL ELSE old END AS invoice_id, CAST(CASE action WHEN 'manual' THEN 100 WHEN 'match' THEN 60 WHEN 'unmatch' THEN NULL ELSE CASE WHEN old IS NOT NULL THEN 80 END END AS INTEGER) AS confidence,

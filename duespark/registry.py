@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duespark.plans import accounting, fields, further, overview, pages, relations, scalars, states, suggestions, texts
+from duespark.plans import accounting, fields, further, overview, pages, records, relations, rules, scalars, states, suggestions, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "ag01_kpi_facet"
 
-for module in (overview, accounting, relations, scalars, suggestions, texts, further, states, fields, pages):
+for module in (overview, accounting, relations, scalars, suggestions, texts, further, states, fields, pages, records, rules):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from duespark.operators.folds import ordered_fold
+
 #: Hours before each further try of a failed write.
 BACKOFF_HOURS = (1, 2, 4, 8)
 
@@ -57,12 +59,18 @@ def deliverable(rows: DataFrame, as_of: Column, most: int = 3, hours: int = 24)
 
 
 def quiet_for_a_day(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """WIN-12: notifications that go out: the first of a key, then the first that is a day after the last that went out.
+    """WIN-12: notifications that go out: the first of a key, then the first that comes over a day after the last that went out.
 
-    Which rows go out depends on those before, so each key's times are folded in order; a key is one mailbox.
+    Which rows go out depends on those before, so each key's times are folded in order, one state a key.
     """
     day = 86_400_000_000
-    times = rows.groupBy(key).agg(F.array_sort(F.array_agg(F.unix_micros(at))).alias("t"))
-    empty = F.array().cast("array<bigint>")
-    sent = F.aggregate("t", empty, lambda s, x: F.when((F.size(s) == 0) | (x - F.get(s, F.size(s) - 1) >= day), F.concat(s, F.array(x))).otherwise(s))
-    return times.select(key, F.explode(sent).alias("t")).select(key, F.timestamp_micros("t").alias(at))
+    times = rows.select(F.col(key), F.unix_micros(at).alias("micros")).filter("micros IS NOT NULL")
+
+    def step(state, row):
+        if state["last"] is None or row["micros"] - state["last"] > day:
+            state["last"] = row["micros"]
+            yield row[key], row["micros"]
+
+    kind = rows.schema[key].dataType.simpleString()
+    sent = ordered_fold(times, [key], ["micros"], lambda: {"last": None}, step, f"`{key}` {kind}, micros bigint")
+    return sent.select(key, F.timestamp_micros("micros").alias(at))
