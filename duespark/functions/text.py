@@ -25,6 +25,11 @@ def contains_ignoring_case(text: Column, part: Column) -> Column:
     return F.coalesce((F.length(F.trim(part)) > 0) & F.contains(F.lower(text), F.lower(F.trim(part))), F.lit(False))
 
 
+def regex_escape(value: Column) -> Column:
+    """STR-02: a pattern that matches the text as it is."""
+    return F.regexp_replace(value, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
 def lines_of(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
     return F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")
