@@ -100,16 +100,26 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, buckets array<int>, counts array<int>")
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each that hold them all: that width, then the numbers."""
+    width = next(w for w in (1, 2, 4) if not len(numbers) or numbers.max() < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def _packed(features: DataFrame) -> DataFrame:
-    """label, and buckets and counts as little-endian 32-bit bytes."""
+    """label, the steps from each bucket to the next (they are in order) and the counts, both narrow: about three bytes a feature."""
 
-    def packed(lists: pa.ListArray) -> pa.Array:
+    def packed(lists: pa.ListArray, of) -> pa.Array:
         ends = lists.offsets.to_numpy()
-        return pa.array([x.tobytes() for x in np.split(lists.values.to_numpy().astype("<i4"), ends)[1:-1]], pa.binary())
+        return pa.array([narrow(of(x)) for x in np.split(lists.values.to_numpy(), ends)[1:-1]], pa.binary())
 
     def run(batches):
         for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed(batch.column(1)), packed(batch.column(2))], names=["label", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(batch.column(1), lambda x: np.diff(x, prepend=0)), packed(batch.column(2), lambda x: x)], names=["label", "buckets", "counts"])
 
     return features.mapInArrow(run, "label int, buckets binary, counts binary")
 
@@ -123,15 +133,15 @@ class SubwordClassifier:
         self.output = draw.uniform(-0.1, 0.1, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 2) -> "SubwordClassifier":
-        """rows: label, buckets, counts."""
+    def fit(self, rows: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 2) -> "SubwordClassifier":
+        """rows: label, buckets and counts as _packed gives them; one row at a time is unpacked."""
         if not rows:
             return self
         draw = np.random.default_rng(seed)
         steps, done = epochs * len(rows), 0
         for _ in range(epochs):
             for k in draw.permutation(len(rows)):
-                label, buckets, counts = rows[k]
+                label, buckets, counts = rows[k][0], np.cumsum(wide(rows[k][1])), wide(rows[k][2])
                 step = rate * (1 - done / steps)
                 done += 1
                 share = (counts / (counts.sum() + NEUTRAL)).astype(np.float32)
@@ -163,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     texts = rows.join(F.broadcast(chosen), same).groupBy("label_id", "digest", "label").agg(F.first("text").alias("text"))
     # From a written table the driver takes one partition after the other, as bytes: no feature becomes a Python object.
     features = write_table(_packed(_features(texts)), "features")
-    rows = [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4")) for r in features.toLocalIterator()]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1][:50].tobytes(), r[2][:50].tobytes()))
+    rows = [(r[0], bytes(r[1]), bytes(r[2])) for r in features.toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], (len(r[2]) - 1) // r[2][0], np.cumsum(wide(r[1]))[:50].astype("<i4").tobytes(), wide(r[2])[:50].tobytes()))
     return SubwordClassifier().fit(rows)
 
 
