@@ -1,10 +1,7 @@
 """Text operators over documents: totals, currencies, languages, chunks, evaluation."""
 
-from __future__ import annotations
-
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -141,12 +138,14 @@ def chunks_of(text: str, most: int) -> list[str]:
 
 def chunks(text: Column, most: int = 8000) -> Column:
     """TXT-08: a text's chunks for a model that takes `most` characters. A longer page or line is a chunk of its own; a blank text is one chunk, a null one null."""
-    return _chunks(text, F.lit(most))
+    # pandas is loaded where it is used, as each driver that only imports this would hold it.
+    import pandas as pd
 
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else chunks_of(t, most) for t in texts], dtype=object)
 
-@F.pandas_udf(ArrayType(StringType()))
-def _chunks(texts: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else chunks_of(t, int(m)) for t, m in zip(texts, most, strict=True)], dtype=object)
+    return cut(text)
 
 
 def strategy(text: Column, single_pass: int = 6000) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +88,8 @@ def overlap_assignment(left: DataFrame, right: DataFrame, least: float = 0.55) -
     left, right: page_id, box_id, x1, y1, x2, y2. A page's boxes are one task's group; the choice is sequential.
     """
 
+    import pandas as pd
+
     def assign(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("box_id"), b.sort_values("box_id")
         p, q = (x[["x1", "y1", "x2", "y2"]].to_numpy(float) for x in (a, b))

@@ -1,10 +1,5 @@
 """STR-20: what a document's file looks like from outside: type, size bucket, pages of a PDF, sides and shape of a picture."""
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -56,10 +51,15 @@ def jpeg_frame(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf(StructType().add("width", LongType()).add("height", LongType()))
-def _jpeg_sides(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for series in contents:
-        yield pd.DataFrame([jpeg_frame(x) or (None, None) for x in series], columns=["width", "height"], dtype="Int64")
+def jpeg_sides(content: Column) -> Column:
+    """Struct of width and height of a JPEG; of nulls for other bytes."""
+    import pandas as pd
+
+    @F.pandas_udf(StructType().add("width", LongType()).add("height", LongType()))
+    def sides(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([jpeg_frame(x) or (None, None) for x in contents], columns=["width", "height"], dtype="Int64")
+
+    return sides(content)
 
 
 def layout_signatures(files: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def layout_signatures(files: DataFrame) -> DataFrame:
     says have no sides (a PDF: one page). A null or empty file is in the first size bucket.
     """
     content = lambda m: F.when(F.col("mime") == m, F.col("content"))
-    named = files.withColumn("__jpeg", _jpeg_sides(content("image/jpeg"))).withColumn("__png", png_sides(content("image/png")))
+    named = files.withColumn("__jpeg", jpeg_sides(content("image/jpeg"))).withColumn("__png", png_sides(content("image/png")))
     width, height = (F.coalesce(F.col(f"__png.{s}"), F.col(f"__jpeg.{s}")) for s in ("width", "height"))
     ratio = F.when(width / height < 0.8, "portrait").when(width / height > 1.3, "landscape").otherwise("square-ish")
     bucket = F.greatest(F.lit(1), F.ceil(F.coalesce("length", F.lit(0)) / BUCKET)).cast("string")
