@@ -70,8 +70,21 @@ def word_features(hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end:
     return which, buckets, np.searchsorted(of[order], np.arange(len(kinds)))
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each that hold them all: that width, then the numbers."""
+    width = next(w for w in (1, 2, 4) if not len(numbers) or numbers.max() < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 def _features(docs: DataFrame) -> DataFrame:
-    """label, buckets, counts of rows (label, text): each document's hashed features."""
+    """label, buckets, counts of rows (label, text): each document's hashed features, about three bytes each.
+
+    buckets holds the steps from each bucket to the next, as they are in order; wide unpacks both.
+    """
 
     def run(batches):
         for batch in batches:
@@ -87,41 +100,17 @@ def _features(docs: DataFrame) -> DataFrame:
                 for k in range(len(offsets) - 1):
                     lo, hi = np.searchsorted(row, [k, k + 1])
                     if lo == hi:
-                        out_b.append([]), out_c.append([])
+                        out_b.append(narrow(np.zeros(0, np.int64))), out_c.append(narrow(np.zeros(0, np.int64)))
                         continue
                     kind, times = np.unique(which[lo:hi], return_counts=True)
                     spread = np.repeat(at[kind], sizes[kind]) + np.arange(sizes[kind].sum()) - np.repeat(np.cumsum(sizes[kind]) - sizes[kind], sizes[kind])
                     total = np.bincount(buckets[spread], np.repeat(times, sizes[kind]), BUCKETS)
                     total += np.bincount(pairs[slice(*np.searchsorted(of, [k, k + 1]))], minlength=BUCKETS)
                     used = np.flatnonzero(total)
-                    out_b.append(used.astype(np.int32)), out_c.append(total[used].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([labels.slice(first, len(out_b)), pa.array(out_b, pa.list_(pa.int32())), pa.array(out_c, pa.list_(pa.int32()))], names=["label", "buckets", "counts"])
-
-    return docs.select("label", "text").mapInArrow(run, "label int, buckets array<int>, counts array<int>")
-
-
-def narrow(numbers: np.ndarray) -> bytes:
-    """Whole numbers from 0 in the fewest bytes each that hold them all: that width, then the numbers."""
-    width = next(w for w in (1, 2, 4) if not len(numbers) or numbers.max() < 1 << 8 * w)
-    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
-
-
-def wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
-
-
-def _packed(features: DataFrame) -> DataFrame:
-    """label, the steps from each bucket to the next (they are in order) and the counts, both narrow: about three bytes a feature."""
-
-    def packed(lists: pa.ListArray, of) -> pa.Array:
-        ends = lists.offsets.to_numpy()
-        return pa.array([narrow(of(x)) for x in np.split(lists.values.to_numpy(), ends)[1:-1]], pa.binary())
-
-    def run(batches):
-        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed(batch.column(1), lambda x: np.diff(x, prepend=0)), packed(batch.column(2), lambda x: x)], names=["label", "buckets", "counts"])
+                    out_b.append(narrow(np.diff(used, prepend=0))), out_c.append(narrow(total[used].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([labels.slice(first, len(out_b)), pa.array(out_b, pa.binary()), pa.array(out_c, pa.binary())], names=["label", "buckets", "counts"])
 
-    return features.mapInArrow(run, "label int, buckets binary, counts binary")
+    return docs.select("label", "text").mapInArrow(run, "label int, buckets binary, counts binary")
 
 
 class SubwordClassifier:
@@ -134,7 +123,7 @@ class SubwordClassifier:
         self.bias = np.zeros(2, np.float32)
 
     def fit(self, rows: list[tuple[int, bytes, bytes]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 2) -> "SubwordClassifier":
-        """rows: label, buckets and counts as _packed gives them; one row at a time is unpacked."""
+        """rows: label, buckets and counts as _features gives them; one row at a time is unpacked."""
         if not rows:
             return self
         draw = np.random.default_rng(seed)
@@ -172,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     same = (F.col("doc_id") == F.col("label_id")) & (F.md5("text") == F.col("digest"))
     texts = rows.join(F.broadcast(chosen), same).groupBy("label_id", "digest", "label").agg(F.first("text").alias("text"))
     # From a written table the driver takes one partition after the other, as bytes: no feature becomes a Python object.
-    features = write_table(_packed(_features(texts)), "features")
+    features = write_table(_features(texts), "features")
     rows = [(r[0], bytes(r[1]), bytes(r[2])) for r in features.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], (len(r[2]) - 1) // r[2][0], np.cumsum(wide(r[1]))[:50].astype("<i4").tobytes(), wide(r[2])[:50].tobytes()))
     return SubwordClassifier().fit(rows)
