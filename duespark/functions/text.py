@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from duespark.functions.money import bound
+
 # Formats of Indian tax and bank identifiers.
 PAN = r"^[A-Z]{5}[0-9]{4}[A-Z]$"
 GSTIN = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]$"
@@ -44,20 +46,36 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(long_words(a), long_words(b)))
 
 
+def squeezed(text: Column) -> Column:
+    """Lower case without white space."""
+    return F.regexp_replace(F.lower(text), r"\s+", "")
+
+
+def squeezed_prefix(x: Column, y: Column) -> Column:
+    return (F.length(x) >= 3) & (F.length(y) >= 3) & (F.startswith(x, y) | F.startswith(y, x))
+
+
+def squeezed_sequence(x: Column, y: Column, share: float = 0.8) -> Column:
+    def found(short: Column, long: Column) -> Column:
+        # Only the beginning has to be found, and not all of it can be if the longer text lacks one of its characters.
+        needed = F.substring(short, F.lit(1), F.ceil(F.length(short) * F.lit(share)).cast("int"))
+        absent = F.call_function("translate", needed, long, F.lit(""))
+        locate = lambda s, c: F.call_function("locate", c, long, s["at"] + 1)
+        step = lambda s, c: F.struct(F.when((s["at"] >= 0) & (locate(s, c) > 0), locate(s, c)).otherwise(-1).alias("at"), (s["hits"] + F.when((s["at"] >= 0) & (locate(s, c) > 0), 1).otherwise(0)).alias("hits"))
+        hits = F.aggregate(F.filter(F.split(short, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("hits")), step, lambda s: s["hits"])
+        return F.when(absent != "", F.lit(False)).otherwise((F.length(short) > 0) & (hits >= F.length(short) * F.lit(share)))
+
+    return F.coalesce(F.when(F.length(x) <= F.length(y), found(x, y)).otherwise(found(y, x)), F.lit(False))
+
+
 def prefix_match(a: Column, b: Column) -> Column:
     """Either starts with the other, both of three characters at least, white space and case aside."""
-    x, y = (F.regexp_replace(F.lower(c), r"\s+", "") for c in (a, b))
-    return (F.length(x) >= 3) & (F.length(y) >= 3) & (F.startswith(x, y) | F.startswith(y, x))
+    return squeezed_prefix(squeezed(a), squeezed(b))
 
 
 def sequence_match(a: Column, b: Column, share: float = 0.8) -> Column:
     """Whether enough of the shorter text's characters occur in order in the longer one. A character that isn't found uses up the rest."""
-    x, y = (F.regexp_replace(F.lower(c), r"\s+", "") for c in (a, b))
-    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    locate = lambda s, c: F.call_function("locate", c, long, s["at"] + 1)
-    step = lambda s, c: F.struct(F.when((s["at"] >= 0) & (locate(s, c) > 0), locate(s, c)).otherwise(-1).alias("at"), (s["hits"] + F.when((s["at"] >= 0) & (locate(s, c) > 0), 1).otherwise(0)).alias("hits"))
-    hits = F.aggregate(F.filter(F.split(short, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("hits")), step, lambda s: s["hits"])
-    return F.coalesce((F.length(short) > 0) & (hits >= F.length(short) * F.lit(share)), F.lit(False))
+    return bound(F.struct(squeezed(a).alias("x"), squeezed(b).alias("y")), lambda s: squeezed_sequence(s["x"], s["y"], share))
 
 
 def pan_of_gstin(gstin: Column) -> Column:

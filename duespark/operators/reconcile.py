@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duespark.functions.dates import days_between
-from duespark.functions.text import contains_ignoring_case, prefix_match, sequence_match, word_overlap
+from duespark.functions.money import bound
+from duespark.functions.text import contains_ignoring_case, squeezed, squeezed_prefix, squeezed_sequence, word_overlap
 from duespark.operators.calendar import with_working_days, working_days_between
 
 WEIGHTS = {"exact": 50, "close": 10, "number": 30, "vendor": 20, "date": 10}
@@ -16,6 +17,8 @@ TOLERANCE = 100
 MATCH_ABOVE, SUGGEST_FROM = 50, 30
 #: Fixed value: invoices that one payment is split over, at most.
 MOST_INVOICES = 10
+#: Characters of an invoice's number by which descriptions are looked through.
+HEAD = 3
 #: Fixed value: working days within which a date is as good as met.
 WORKING_DAYS = 2
 
@@ -33,7 +36,10 @@ def number_score(description: Column, number: Column, weight: int = WEIGHTS["num
 def vendor_score(description: Column, vendor: Column, weight: int = WEIGHTS["vendor"]) -> Column:
     """REC-02."""
     some = F.length(F.trim(F.coalesce(vendor, F.lit("")))) > 0
-    return F.when(some & (word_overlap(description, vendor) >= 1), weight).when(some & prefix_match(description, vendor), weight).when(some & sequence_match(description, vendor), (3 * weight + 2) // 4).otherwise(0)
+    # Both texts are squeezed once, and only without a common word.
+    plain = F.struct(squeezed(description).alias("x"), squeezed(vendor).alias("y"))
+    alike = bound(plain, lambda s: F.when(squeezed_prefix(s["x"], s["y"]), weight).when(squeezed_sequence(s["x"], s["y"]), (3 * weight + 2) // 4).otherwise(0))
+    return F.when(some & (word_overlap(description, vendor) >= 1), weight).when(some, alike).otherwise(0)
 
 
 def date_score(paid: Column, *dates: Column, weight: int = WEIGHTS["date"]) -> Column:
@@ -66,12 +72,8 @@ def band_join(left: DataFrame, right: DataFrame, left_amount: str, right_amount:
     return near.join(other, [*keys, "__bucket"]).filter(F.abs(F.col(left_amount) - F.col(right_amount)) <= tolerance).drop("__bucket")
 
 
-def candidates(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE, calendar: DataFrame | None = None) -> DataFrame:
-    """Scored pairs. txns: txn_id, tenant_id, debit_minor, paid_at, description; invoices: invoice_id, tenant_id, net_minor, number, vendor_name, created_at, approved_at, due_at.
-
-    E-04: with a calendar (operators.calendar), a payment within two working days of a reference date has the full date score.
-    """
-    pairs = band_join(txns, invoices, "debit_minor", "net_minor", tolerance, ["tenant_id"])
+def scored(pairs: DataFrame, tolerance: int = TOLERANCE, calendar: DataFrame | None = None) -> DataFrame:
+    """tenant_id, txn_id, invoice_id, score of pairs with the columns of both sides of `candidates`."""
     dates = ["created_at", "approved_at", "due_at"]
     dated = date_score(F.col("paid_at"), *(F.col(c) for c in dates))
     if calendar is not None:
@@ -82,14 +84,55 @@ def candidates(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE,
     return pairs.select("tenant_id", "txn_id", "invoice_id", score.cast("bigint").alias("score"))
 
 
+def candidates(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE, calendar: DataFrame | None = None) -> DataFrame:
+    """Scored pairs. txns: txn_id, tenant_id, debit_minor, paid_at, description; invoices: invoice_id, tenant_id, net_minor, number, vendor_name, created_at, approved_at, due_at.
+
+    E-04: with a calendar (operators.calendar), a payment within two working days of a reference date has the full date score.
+    """
+    return scored(band_join(txns, invoices, "debit_minor", "net_minor", tolerance, ["tenant_id"]), tolerance, calendar)
+
+
+def _number(number: Column) -> Column:
+    return F.lower(F.trim(number))
+
+
+def named_pairs(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """Pairs of `candidates` whose description has the invoice's number, of HEAD characters at least, found by equality instead of in all pairs.
+
+    A description is looked through for the numbers' first HEAD characters, of which there are few and which are broadcast;
+    from there on it is cut at each length that such numbers have, and the cuts are joined with the numbers.
+    """
+    term = _number(F.col("number"))
+    numbered = invoices.withColumn("__term", term).filter(F.length("__term") >= HEAD)
+    heads = numbered.groupBy(F.substring("__term", 1, HEAD).alias("__head")).agg(F.collect_set(F.length("__term")).alias("__lengths"))
+    text = F.col("__text")
+    spots = txns.withColumn("__text", F.lower("description")).filter(F.length(text) >= HEAD).withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - HEAD + 1)))
+    spots = spots.withColumn("__head", F.substring(text, F.col("__at"), F.lit(HEAD))).join(F.broadcast(heads), "__head").withColumn("__length", F.explode("__lengths"))
+    cuts = spots.filter(F.col("__at") + F.col("__length") - 1 <= F.length(text)).withColumn("__term", F.substring(text, F.col("__at"), F.col("__length")))
+    cuts = cuts.drop("__text", "__at", "__head", "__lengths", "__length")
+    return band_join(numbered, cuts, "net_minor", "debit_minor", tolerance, ["tenant_id", "__term"]).drop("__term")
+
+
+def alike(invoices: DataFrame) -> DataFrame:
+    """The invoice of least id of those that score alike but for their number, which is null unless shorter than HEAD."""
+    number = F.when(F.length(_number(F.col("number"))) < HEAD, F.col("number"))
+    keys = ["tenant_id", "net_minor", "number", "vendor_name", "created_at", "approved_at", "due_at"]
+    return invoices.withColumn("number", number).groupBy(*keys).agg(F.min("invoice_id").alias("invoice_id"))
+
+
 def best(pairs: DataFrame) -> DataFrame:
     """WIN-01: the highest score of each transaction, ties to the least invoice, by pre-aggregation."""
     return pairs.groupBy("tenant_id", "txn_id").agg(F.max_by(F.struct("invoice_id", "score"), F.struct("score", -F.col("invoice_id"))).alias("b")).select("tenant_id", "txn_id", "b.invoice_id", "b.score")
 
 
 def reconcile(txns: DataFrame, invoices: DataFrame, tolerance: int = TOLERANCE, calendar: DataFrame | None = None) -> DataFrame:
-    """REC-05: txn_id, invoice_id, score, state; an invoice may serve several transactions. E-04 with a calendar."""
-    found = best(candidates(txns, invoices, tolerance, calendar))
+    """REC-05: txn_id, invoice_id, score, state; an invoice may serve several transactions. E-04 with a calendar.
+
+    Invoices that only their number tells apart are one candidate, and payments that name a number are paired with its invoice:
+    a payment's best is one of both, as a pair without its number's share scores less than itself.
+    """
+    pairs = candidates(txns, alike(invoices), tolerance, calendar).unionByName(scored(named_pairs(txns, invoices, tolerance), tolerance, calendar))
+    found = best(pairs)
     out = txns.select("tenant_id", "txn_id").join(found, ["tenant_id", "txn_id"], "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint")).withColumn("state", decision(F.col("score")))
     return out.select("tenant_id", "txn_id", F.when(F.col("state") != "unmatched", F.col("invoice_id")).alias("invoice_id"), "score", "state")
 
