@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duespark.functions.dates import fiscal_year
-from duespark.functions.money import round_half_up, share_bps
+from duespark.functions.money import floor_share, round_half_up, share_bps
 from duespark.functions.text import PAN
-from duespark.operators.folds import ordered_fold
 
 NO_PAN_BPS = 2000
 
@@ -87,32 +86,29 @@ def ledger(entries: DataFrame, bps: int, single: int, annual: int) -> DataFrame:
 def ledger_fold(entries: DataFrame) -> DataFrame:
     """TAX-05 in general: rows bring their own bps, single and annual thresholds, and opening_base and opening_tax of their ledger.
 
-    A ledger (vendor, section, year) is folded over its rows in order, of which only the base and the tax so far are held.
+    A ledger (vendor, section, year) is summed over its rows in order. The tax so far is the larger, at each crossing, of
+    itself and the year's share, and else grows by the row's own tax: so after any row it is the taxes up to it, and above
+    them the most by which a crossing's share, or the opening, exceeds the taxes before it.
     """
+    keys = ["vendor_id", "section", "fy"]
     df = entries.withColumn("fy", fiscal_year(F.col("invoice_date")))
-    w = Window.partitionBy("vendor_id", "section", "fy")
-    opening = {f"opening_{x}": F.coalesce(F.max(f"opening_{x}").over(w), F.lit(0)).cast("bigint") for x in ("base", "tax")}
-    df = df.withColumns(opening).select("vendor_id", "section", "fy", "invoice_date", "invoice_id", "line", "base_minor", "bps", "single", "annual", "opening_base", "opening_tax")
-    share = lambda base, bps: (base * bps + 5000) // 10000
-
-    def step(state, x):
-        if state["base"] is None:
-            state["base"], state["tax"] = x["opening_base"], x["opening_tax"]
-        base, before, annual = x["base_minor"], state["base"], x["annual"]
-        if annual > 0 and before + base <= annual:
-            tax, name = 0, "BELOW_ANNUAL"
-        elif annual > 0 and before <= annual:
-            tax, name = max(0, share(before + base, x["bps"]) - state["tax"]), "CROSSED"
-        elif x["single"] > 0 and base < x["single"]:
-            tax, name = 0, "BELOW_SINGLE"
-        else:
-            tax, name = share(base, x["bps"]), "ABOVE"
-        state["base"], state["tax"] = before + base, state["tax"] + tax
-        yield x["vendor_id"], x["section"], x["fy"], x["invoice_id"], x["line"], base, tax, name == "CROSSED", name
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("vendor_id", "section", "fy", "invoice_id", "line"))
-    return ordered_fold(df, ["vendor_id", "section", "fy"], ["invoice_date", "invoice_id", "line"], lambda: {"base": None, "tax": None}, step, f"{kinds}, base_minor bigint, tax_minor bigint, crossed boolean, state string")
-
+    ledger = Window.partitionBy(*keys)
+    order = ledger.orderBy("invoice_date", "invoice_id", "line")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    base, bps, annual = (F.col(c) for c in ("base_minor", "bps", "annual"))
+    opening = {f"opening_{x}": F.coalesce(F.max(f"opening_{x}").over(ledger), F.lit(0)).cast("bigint") for x in ("base", "tax")}
+    df = df.withColumns(opening).withColumn("after", F.col("opening_base") + F.sum(base).over(so_far))
+    below = (annual > 0) & (F.col("after") <= annual)
+    crossing = (annual > 0) & (F.col("after") - base <= annual)
+    state = F.when(below, "BELOW_ANNUAL").when(crossing, "CROSSED").when((F.col("single") > 0) & (base < F.col("single")), "BELOW_SINGLE").otherwise("ABOVE")
+    df = df.withColumn("state", state)
+    own = F.when(F.col("state") == "ABOVE", floor_share(base, bps)).otherwise(F.lit(0).cast("bigint"))
+    due = F.when(F.col("state") == "CROSSED", floor_share(F.col("after"), bps))
+    df = df.withColumns({"own": own, "due": due}).withColumn("owned", F.sum("own").over(so_far))
+    most = F.greatest(F.col("opening_tax"), F.max(F.col("due") - F.col("owned")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    tax = F.when(F.col("state") == "CROSSED", F.greatest(F.lit(0), F.col("due") - F.col("owned") - most)).otherwise(F.col("own"))
+    crossed = F.col("state") == "CROSSED"
+    return df.select(*keys, "invoice_id", "line", base.cast("bigint").alias("base_minor"), tax.cast("bigint").alias("tax_minor"), crossed.alias("crossed"), "state")
 
 
 def section_rule(items: DataFrame, rules: DataFrame) -> DataFrame:

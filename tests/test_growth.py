@@ -1,10 +1,11 @@
 """Work that has to grow with the rows, not with their pairs, and keep all results."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from duespark.operators import reconcile
+from duespark.operators import reconcile, tax
 
 
 def test_copies_of_invoices_are_one_candidate_and_named_ones_are_found(spark):
@@ -24,3 +25,31 @@ def test_copies_of_invoices_are_one_candidate_and_named_ones_are_found(spark):
     assert named and reconcile.alike(copies).count() == 1
     pairs = reconcile.named_pairs(txns.filter("txn_id = 0"), copies)
     assert [r.invoice_id for r in pairs.collect()] == [1]
+
+
+def test_a_ledger_is_summed_by_windows_of_one_shuffle(spark):
+    draw = random.Random(5)
+    rows = [(k, 1, draw.choice([1, 2, None]), "194C", dt.datetime(2024, 5, 1 + draw.randrange(20)), draw.randrange(-50, 10_000) * 997, draw.choice([10, 100, 1505]), draw.choice([0, 2_000_000]), draw.choice([0, 9_000_000, 40_000_000]), draw.choice([0, 3_000_000]), draw.choice([0, 20_000])) for k in range(300)]
+    names = ["invoice_id", "line", "vendor_id", "section", "invoice_date", "base_minor", "bps", "single", "annual", "opening_base", "opening_tax"]
+    df = spark.createDataFrame(rows, "invoice_id long, line long, vendor_id long, section string, invoice_date timestamp, base_minor long, bps int, single long, annual long, opening_base long, opening_tax long")
+    want = set()
+    for vendor in (1, 2, None):
+        own = sorted((dict(zip(names, r, strict=True)) for r in rows if r[2] == vendor), key=lambda x: (x["invoice_date"], x["invoice_id"]))
+        base, tax_so_far = max(x["opening_base"] for x in own), max(x["opening_tax"] for x in own)
+        for x in own:
+            before, base = base, base + x["base_minor"]
+            share = lambda b: (b * x["bps"] + 5000) // 10000  # noqa: E731,B023
+            if x["annual"] > 0 and base <= x["annual"]:
+                now, state = 0, "BELOW_ANNUAL"
+            elif x["annual"] > 0 and before <= x["annual"]:
+                now, state = max(0, share(base) - tax_so_far), "CROSSED"
+            elif x["single"] > 0 and x["base_minor"] < x["single"]:
+                now, state = 0, "BELOW_SINGLE"
+            else:
+                now, state = share(x["base_minor"]), "ABOVE"
+            tax_so_far += now
+            want.add((x["invoice_id"], x["base_minor"], now, state == "CROSSED", state))
+    out = tax.ledger_fold(df)
+    assert {(r.invoice_id, r.base_minor, r.tax_minor, r.crossed, r.state) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and len([x for x in plan.split("Initial Plan")[-1].splitlines() if "Exchange" in x]) == 1
