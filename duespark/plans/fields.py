@@ -9,7 +9,7 @@ from duespark.operators.changes import bulk_update
 from duespark.operators.risk import action_reason, severity_of
 from duespark.plans.adapt import ctes, entries, invoices, transactions, vendors
 from duespark.plans.overview import _fy, _quarter, big
-from duespark.sources.tables import table
+from duespark.sources.tables import spread, table
 
 PLACES = ["12 MG Road, Goa", "uttar  pradesh & Bihar", "Dadra & Nagar Haveli and Daman & Diu", "goal street", None, "Andhra Pradesh", "3 Assam-Street, West Bengal", "Keralam"]
 CODES = ["HDFC0000001", "sbin0123456", "ZZZZ0AAAAAA", None]
@@ -39,7 +39,7 @@ def repaired_digits(spark, d):
 
 def field_maps(spark, d):
     """STR-21, MAP-03..06, CNF-02, maps as text."""
-    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    c, key = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), "c_custkey"), F.col("c_custkey")
     name = F.when(key % 3 == 0, F.lit("12 Mill Road")).when(key % 6 == 1, F.concat("c_mktsegment", F.lit(" Ltd"))).when(key % 3 == 1, F.col("c_name")).otherwise("")
     present = fields.present_fields({"vendorName": F.nullif(name, F.lit("")), "total": F.when(key % 2 == 0, key), "gst.cgst": F.when(key % 5 == 0, key * 9)})
     candidates = fields.candidate_map(F.create_map(F.lit("totalAmountMinor"), F.array(key.cast("string"), F.lit(" 12.50 "), F.lit("x"), key.cast("string")), F.lit("no"), F.when(key % 2 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("a "), F.lit("a"), F.lit("b")))))
