@@ -27,9 +27,9 @@ def part(v: Column, path: str) -> Column:
 def as_text(v: Column, path: str = "$") -> Column:
     """A text without blanks around; null if it is none, or empty."""
     def trimmed(x: Column) -> Column:
-        return F.when(F.schema_of_variant(x) == "STRING", F.nullif(F.regexp_replace(F.try_variant_get(x, "$", "string"), r"^\s+|\s+$", ""), F.lit("")))
+        return F.when(F.schema_of_variant(x) == "STRING", F.regexp_replace(F.try_variant_get(x, "$", "string"), r"^\s+|\s+$", ""))
 
-    return bound(part(v, path), trimmed)
+    return bound(bound(part(v, path), trimmed), lambda x: F.nullif(x, F.lit("")))
 
 
 def as_double(v: Column, path: str = "$") -> Column:
@@ -40,21 +40,21 @@ def as_double(v: Column, path: str = "$") -> Column:
 def as_number(v: Column, path: str = "$") -> Column:
     """A number, loosely read; null if there is nothing at the path or it says none."""
     def read(x: Column) -> Column:
-        kind = F.schema_of_variant(x)
+        said = lambda text: F.when(text == "", 0.0).when(text.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), text.try_cast("double"))
         text = F.trim(F.try_variant_get(x, "$", "string"))
-        said = F.when(text == "", 0.0).when(text.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), text.try_cast("double"))
-        return F.when(kind == "STRING", said).when(kind == "VOID", 0.0).when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double")).when(kind.rlike(NUMERIC), F.try_variant_get(x, "$", "double"))
+        of = lambda kind: F.when(kind.rlike(NUMERIC), F.try_variant_get(x, "$", "double")).when(kind == "STRING", bound(text, said)).when(kind == "VOID", 0.0).when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double"))
+        return F.when(x.isNotNull(), bound(F.schema_of_variant(x), of))
 
     return bound(part(v, path), read)
 
 
 def as_record(v: Column, path: str = "$") -> Column:
     """A record's entries as a map of variants; null if it is none."""
-    return bound(part(v, path), lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "map<string,variant>")))
+    return F.try_variant_get(v, path, "map<string,variant>")
 
 
 def as_list(v: Column, path: str = "$") -> Column:
-    return bound(part(v, path), lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def confidence(x: Column) -> Column:
@@ -90,19 +90,32 @@ def invoice_record(v: Column) -> Column:
     )
 
 
+BOXES = ("bbox", "bboxNormalized", "bboxModel")
+
+
+def whole_number(n: Column) -> Column:
+    """A whole number from 0; null if it is none."""
+    return F.when((n >= 0) & (n == F.floor(n)), n.cast("bigint"))
+
+
 def box(v: Column, path: str) -> Column:
     """Four numbers of a box with an area; null if they are none."""
     numbers = lambda a: F.transform(a, lambda x: as_number(x))
-    whole = lambda n: F.when((F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull()) & (F.get(n, F.lit(2)) > F.get(n, F.lit(0))) & (F.get(n, F.lit(3)) > F.get(n, F.lit(1))), n)
-    return bound(bound(as_list(v, path), numbers), whole)
+    whole = lambda n: F.when(F.forall(n, lambda x: x.isNotNull()) & (F.get(n, F.lit(2)) > F.get(n, F.lit(0))) & (F.get(n, F.lit(3)) > F.get(n, F.lit(1))), n)
+    return bound(as_list(v, path), lambda a: F.when(F.size(a) == 4, bound(numbers(a), whole)))
 
 
 def provenance(v: Column) -> Column:
     """TXT-27: where a field was found: a struct of source, page, bbox, bboxNormalized, bboxModel, blockIndex, confidence; null without any box."""
-    page, index = as_number(v, "$.page"), F.when(F.coalesce(F.schema_of_variant(part(v, "$.blockIndex")), F.lit("VOID")) == "VOID", as_number(v, "$.block_index")).otherwise(as_number(v, "$.blockIndex"))
-    boxes = {k: box(v, f"$.{k}") for k in ("bbox", "bboxNormalized", "bboxModel")}
-    found = F.struct(as_text(v, "$.source").alias("source"), F.when(page > 0, round_half_up(page)).alias("page"), *(b.alias(k) for k, b in boxes.items()), F.when((index >= 0) & (index == F.floor(index)), index.cast("bigint")).alias("blockIndex"), confidence(as_number(v, "$.confidence")).alias("confidence"))
-    return F.when(F.coalesce(*boxes.values()).isNotNull(), found)
+    page = bound(as_number(v, "$.page"), lambda n: F.when(n > 0, round_half_up(n)))
+    given = bound(part(v, "$.blockIndex"), lambda n: F.when(n.isNull() | F.is_variant_null(n), as_number(v, "$.block_index")).otherwise(as_number(n)))
+    boxes = F.struct(*(box(v, f"$.{k}").alias(k) for k in BOXES))
+
+    def found(b: Column) -> Column:
+        own = F.struct(as_text(v, "$.source").alias("source"), page.alias("page"), *(b[k].alias(k) for k in BOXES), bound(given, whole_number).alias("blockIndex"), bound(as_number(v, "$.confidence"), confidence).alias("confidence"))
+        return F.when(F.coalesce(*(b[k] for k in BOXES)).isNotNull(), own)
+
+    return F.when(v.isNotNull(), bound(boxes, found))
 
 
 def _entries(entries: Column, value) -> Column:
@@ -118,13 +131,12 @@ def field_provenance(v: Column) -> Column:
 
 def field_confidence(v: Column) -> Column:
     """TXT-27: a map of field to confidence; null if v is no record or nothing is left."""
-    return _entries(as_record(v), lambda x: confidence(as_number(x)))
+    return _entries(as_record(v), lambda x: bound(as_number(x), confidence))
 
 
 def block_indices(v: Column) -> Column:
     """TXT-27: a map of field to the number of its block: whole numbers from 0."""
-    whole = lambda n: F.when((n >= 0) & (n == F.floor(n)), n.cast("bigint"))
-    return _entries(as_record(v), lambda x: bound(as_number(x), whole))
+    return _entries(as_record(v), lambda x: bound(as_number(x), whole_number))
 
 
 def item_provenance(v: Column) -> Column:
@@ -134,10 +146,10 @@ def item_provenance(v: Column) -> Column:
     """
     def index(x: Column) -> Column:
         named = [part(x, f"$.{k}") for k in ("index", "itemIndex", "rowIndex", "line")]
-        given = F.coalesce(*(F.when(F.schema_of_variant(n) != "VOID", n) for n in named), *named)
-        return bound(as_number(given), lambda n: F.when((n >= 0) & (n == F.floor(n)), n.cast("bigint")))
+        given = F.coalesce(*(bound(n, lambda n: F.when(~F.is_variant_null(n), n)) for n in named), *named)
+        return bound(as_number(given), whole_number)
 
-    item = lambda x: F.struct(index(x).alias("index"), provenance(part(x, "$.row")).alias("row"), field_provenance(part(x, "$.fields")).alias("fields"))
+    item = lambda x: F.struct(index(x).alias("index"), bound(part(x, "$.row"), provenance).alias("row"), field_provenance(part(x, "$.fields")).alias("fields"))
     kept = F.filter(F.transform(as_list(v), item), lambda i: i["index"].isNotNull() & (i["row"].isNotNull() | i["fields"].isNotNull()))
     return bound(kept, lambda k: F.when(F.size(k) > 0, k))
 
@@ -149,12 +161,13 @@ def classification(v: Column, section: Column | None = None) -> Column:
     """
     def named(*names: str) -> Column:
         texts = [bound(part(v, f"$.{n}"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.regexp_replace(F.try_variant_get(x, "$", "string"), r"^\s+|\s+$", ""))) for n in names]
-        return F.nullif(F.coalesce(*texts), F.lit(""))
+        return bound(F.coalesce(*texts), lambda x: F.nullif(x, F.lit("")))
 
+    names = ("invoiceType", "category", "glCategory", "tdsSection")
     own = [named("invoiceType"), named("category", "classification"), named("glCategory", "gl_category"), named("tdsSection", "tdsCategory", "tds")]
     given = F.nullif(F.trim(section), F.lit("")) if section is not None else F.lit(None).cast("string")
     own[3] = F.coalesce(given, own[3])
-    return F.when(F.coalesce(*own).isNotNull(), F.struct(*(c.alias(n) for c, n in zip(own, ("invoiceType", "category", "glCategory", "tdsSection"), strict=True))))
+    return bound(F.struct(*(c.alias(n) for c, n in zip(own, names, strict=True))), lambda k: F.when(F.coalesce(*(k[n] for n in names)).isNotNull(), k))
 
 
 def extract_provenance(v: Column) -> Column:

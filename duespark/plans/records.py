@@ -10,7 +10,7 @@ from duespark.operators.calendar import calendar
 from duespark.plans.accounting import _matchable, _n, _reconcile
 from duespark.plans.adapt import ctes, transactions, vendors
 from duespark.sources import signatures
-from duespark.sources.tables import table
+from duespark.sources.tables import spread, table
 from duespark.streaming import ingest
 
 FIRST, LAST = date(1990, 1, 1), date(2010, 12, 31)
@@ -41,7 +41,7 @@ def _extract(key):
 
 
 def _variant(spark, d):
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events").select("event_id"), "event_id")
     return e.select("event_id", F.parse_json(_extract(F.col("event_id"))).alias("v"))
 
 
