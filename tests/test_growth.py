@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from duespark.operators import reconcile, tax
+from duespark.operators import matching, reconcile, tax
+from duespark.plans import fields, records
 
 
 def test_copies_of_invoices_are_one_candidate_and_named_ones_are_found(spark):
@@ -53,3 +54,14 @@ def test_a_ledger_is_summed_by_windows_of_one_shuffle(spark):
     assert {(r.invoice_id, r.base_minor, r.tax_minor, r.crossed, r.state) for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and len([x for x in plan.split("Initial Plan")[-1].splitlines() if "Exchange" in x]) == 1
+
+
+def test_costly_rows_of_a_small_file_are_dealt_over_the_cores(spark, small):
+    assert fields.field_maps(spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert records.normalised_provenance(spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_candidates_are_sought_once(spark):
+    found = matching.field_candidates(F.col("text"), {f: F.lit(None).cast("string") for f in ("invoiceNumber", "vendorName", "currency", "totalAmountMinor")})
+    plan = spark.createDataFrame([("Vendor: Acme",)], "text string").select(found.alias("found"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("bill\\s*from") == 1
