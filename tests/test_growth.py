@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from duespark.functions import fields as shared
 from duespark.operators import matching, reconcile, tax
 from duespark.plans import fields, records
 
@@ -65,3 +66,9 @@ def test_candidates_are_sought_once(spark):
     found = matching.field_candidates(F.col("text"), {f: F.lit(None).cast("string") for f in ("invoiceNumber", "vendorName", "currency", "totalAmountMinor")})
     plan = spark.createDataFrame([("Vendor: Acme",)], "text string").select(found.alias("found"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("bill\\s*from") == 1
+
+
+def test_a_confidence_is_rounded_as_its_sql_does(spark):
+    text = F.lit(None).cast("double")
+    row = spark.range(1).select(*(shared.field_confidence(text, F.lit(x) / 1000, F.lit(0.5)) for x in (480.15, 250.25, 638.55, 459.45, -3.0))).first()
+    assert list(row) == [0.4802, 0.2502, 0.6385, 0.4595, 0.0]
