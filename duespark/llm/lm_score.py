@@ -3,7 +3,8 @@
 A text is its words, lower-cased in A-Z, each encoded alone by a public byte-level BPE, then an
 end. The model reads windows of WINDOW ids that overlap by WINDOW - STRIDE: every id is scored
 once, by the window that shows it at least that much context (or all there is). One masked
-attention layer over a batch of windows gives each position a state; the state gives weights for
+attention layer, whose weights are the exponentials of keys and distances by channel (as in an
+attention-free transformer), gives each position a state; the state gives weights for
 EXPERTS distributions over the next id, and the id's probability is their mixture, with a small
 share of the corpus's own id frequencies so that no id is impossible.
 
@@ -17,9 +18,10 @@ probability: over all texts these sum to at most 1.
 
 What the model takes from the corpus covers all documents to learn from:
 - word counts (pre-aggregated, then shuffled by word), and from them the id frequencies;
-- attention and gates are fitted on the driver, on FIRST_DOCS distinct documents (of the least hashes);
-- the experts are then estimated anew by a distributed expectation step over all documents to
-  learn from, so these sums grow with the corpus; each task sends one row an id.
+- a start, fitted on the driver on words drawn by these counts, so that all tasks mean the same by an expert;
+- attention, gates and experts: each task goes once over all of its documents in small steps from
+  that start, every id once; the tasks' weights are averaged by the ids they saw, the experts'
+  expected counts are summed. A task sends one row an id and some more.
 
 The base score of a text is that of its words' add-one frequencies alone. Counts of the HEAD
 most frequent words are broadcast; the rarer words of each text, with their probabilities by
@@ -33,6 +35,7 @@ id and the text are read.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -48,13 +51,14 @@ from duespark.llm.packing import encoder
 from duespark.llm.scratch import write_table
 
 WINDOW, STRIDE = 32, 26
-DIM, EXPERTS = 32, 64
+DIM, EXPERTS = 8, 16
 FLOOR = 0.01
 FREQUENT = 0.3
-#: Ids that the driver's fit counts for beside the distributed step.
-FIT_WEIGHT = 50
-FIRST_DOCS = 1500
-STEPS, BATCH = 2000, 128
+#: What the expected counts of the start weigh beside those of the documents.
+FIT_WEIGHT = 1
+#: Steps and windows of a step at the start; words of a sequence of the start.
+STEPS, BATCH, START_WORDS = 500, 512, 200
+RATE = 0.02
 HEAD = 200_000
 CACHED_WORDS = 500_000
 CHUNK_CHARS = 2_000_000
@@ -123,23 +127,32 @@ class WordIds:
         self.count = np.concatenate([self.count, np.fromiter(map(self.known.get, order, repeat(-1)), np.int64, len(order))])
 
 
-def window_index(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_index(lengths: np.ndarray, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sequences laid end to end: first position of each window, its sequence's end, and how many of its first places are context only."""
-    windows = 1 + np.ceil(np.maximum(0, lengths - WINDOW) / STRIDE).astype(np.int64)
+    stride = stride or STRIDE
+    windows = 1 + np.ceil(np.maximum(0, lengths - WINDOW) / stride).astype(np.int64)
     of = np.repeat(np.arange(len(lengths)), windows)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     offset = np.cumsum(lengths) - lengths
-    return offset[of] + nth * STRIDE, (offset + lengths)[of], np.where(nth > 0, WINDOW - STRIDE, 0)
+    return offset[of] + nth * stride, (offset + lengths)[of], np.where(nth > 0, WINDOW - stride, 0)
 
 
-def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the sums of their rows."""
-    order = np.argsort(ids, kind="stable")
-    found, start = np.unique(ids[order], return_index=True)
-    return found, np.add.reduceat(rows[order], start, axis=0) if len(found) else rows[:0]
+def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, the order that puts the same ones together, and where each begins in it."""
+    # Numbers of 16 bits are sorted by radix.
+    small = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids
+    order = np.argsort(small, kind="stable")
+    inorder = small[order]
+    start = np.flatnonzero(np.append(True, inorder[1:] != inorder[:-1]))
+    return inorder[start].astype(np.int64), order, start
 
 
 class AttentionModel:
+    """Causal attention by channel: a place's value is the mean of those before it and its own, weighed by the exponential of their keys and of their distance, and let through as its query says.
+
+    The sums over earlier places are then one product with the matrix of distances, for all windows at once.
+    """
+
     def __init__(self, frequencies: np.ndarray, seed: int = 4):
         """frequencies: the corpus's share of each compact id; the last is the end."""
         draw = np.random.default_rng(seed)
@@ -147,8 +160,8 @@ class AttentionModel:
         self.base = frequencies.astype(np.float32)
         noise = lambda *shape, scale: (draw.standard_normal(shape) * scale).astype(np.float32)
         self.w = {
-            "emb": noise(v, DIM, scale=0.3), "q": noise(DIM, DIM, scale=0.2), "k": noise(DIM, DIM, scale=0.2), "v": noise(DIM, DIM, scale=0.2),
-            "own": noise(DIM, DIM, scale=0.3), "bias": np.zeros(DIM, np.float32), "near": np.linspace(0, -1.5, WINDOW).astype(np.float32), "gate": noise(DIM, EXPERTS, scale=0.3), "gate0": np.zeros(EXPERTS, np.float32),
+            "emb": noise(v, DIM, scale=0.5), "q": noise(DIM, DIM, scale=0.3), "k": noise(DIM, DIM, scale=0.3), "v": noise(DIM, DIM, scale=0.5),
+            "own": noise(DIM, DIM, scale=0.5), "bias": np.zeros(DIM, np.float32), "near": np.linspace(0, -1.5, WINDOW).astype(np.float32), "gate": noise(DIM, EXPERTS, scale=0.5), "gate0": np.zeros(EXPERTS, np.float32),
         }
         self.sums = (frequencies[:, None] * np.exp(draw.standard_normal((v, EXPERTS)) * 0.5)).astype(np.float32) * 4096 / EXPERTS
         self.lag = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))
@@ -158,78 +171,135 @@ class AttentionModel:
         """Experts from their expected counts, with a prior of the corpus's frequencies."""
         self.experts = ((self.sums + prior * self.base[:, None]) / (self.sums.sum(0) + prior)).astype(np.float32)
 
-    def bands(self) -> np.ndarray:
-        """What is added to attention by distance; nothing looks ahead."""
-        return np.where(self.lag >= 0, self.w["near"][np.maximum(self.lag, 0)], np.float32(-1e9)).astype(np.float32)
+    def distances(self) -> np.ndarray:
+        """The weight of each earlier place by its distance; nothing looks ahead."""
+        near = np.exp(np.clip(self.w["near"], -30, 30))
+        return np.where(self.lag >= 0, near[np.maximum(self.lag, 0)], 0).astype(near.dtype)
 
-    def fit(self, sequences: list[np.ndarray], steps: int = STEPS, rate: float = 0.01, seed: int = 6) -> None:
-        """Adam on attention and gates, with stepwise expectation-maximisation of the experts."""
+    def fit(self, sequences: list[np.ndarray], steps: int | None = None, rate: float = 0.01, seed: int = 6) -> None:
+        """Steps on windows drawn from sequences of ids."""
+        steps = steps or STEPS
         draw = np.random.default_rng(seed)
         flat = np.concatenate(sequences)
         lengths = np.array([len(s) for s in sequences])
         first, end, _ = window_index(lengths)
-        shown = np.concatenate([[len(self.base) - 1], flat[:-1]])
-        shown[np.cumsum(lengths)[:-1]] = len(self.base) - 1
-        m = {k: np.zeros_like(x) for k, x in self.w.items()}
-        s = {k: np.zeros_like(x) for k, x in self.w.items()}
+        shown = self.shown(flat, lengths)
+        state = Steps(self)
         for step in range(1, steps + 1):
             pick = draw.integers(0, len(first), BATCH)
-            at = first[pick, None] + np.arange(WINDOW)
-            live = at < end[pick, None]
-            at = np.minimum(at, len(flat) - 1)
-            grad, counts = self._gradients(shown[at], flat[at], live)
-            eta = max(0.01, (step + 2) ** -0.6)
-            self.sums *= 1 - eta
-            ids, sums = summed(*counts)
-            self.sums[ids] += eta * sums
-            self.settle()
-            now = rate * min(1, step / 20) * (1 - 0.9 * step / steps)
-            for k, g in grad.items():
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.01 * (g * g - s[k])
-                self.w[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+            state.take(*windows_of(shown, flat, first[pick], end[pick]), rate * min(1, step / 20) * (1 - 0.9 * step / steps))
 
-    def _states(self, ids):
+    def shown(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """What stands before each id: the id before it, the end before a text."""
+        shown = np.concatenate([[len(self.base) - 1], flat[:-1]]).astype(np.int32)
+        shown[np.cumsum(lengths)[:-1]] = len(self.base) - 1
+        return shown
+
+    def _forward(self, ids):
+        """ids: places by windows. What depends on an id alone is reckoned once for each distinct one."""
         w = self.w
-        e = w["emb"][ids]
-        q, k, v = e @ w["q"] / np.float32(math.sqrt(DIM)), e @ w["k"], e @ w["v"]
-        a = np.exp(np.minimum(q @ k.transpose(0, 2, 1) + self.bands(), np.float32(30)))
-        a /= a.sum(-1, keepdims=True)
-        h = np.tanh(e @ w["own"] + w["bias"] + a @ v)
-        g = h @ w["gate"] + w["gate0"]
-        g = np.exp(g - g.max(-1, keepdims=True))
-        return e, q, k, v, a, h, g / g.sum(-1, keepdims=True)
+        found, order, start = grouped(ids.ravel())
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.repeat(np.arange(len(found)), np.diff(np.append(start, len(order))))
+        e = w["emb"][found]
+        key, v = np.exp(np.clip(e @ w["k"], -30, 30)), e @ w["v"]
+        opened = 1 / (1 + np.exp(-np.clip(e @ w["q"], -30, 30)))
+        held = np.concatenate([key * v, key], 1).take(nth, axis=0).reshape(WINDOW, -1)
+        away = self.distances()
+        sums = (away @ held).reshape(len(nth), -1)
+        below = np.ascontiguousarray(sums[:, DIM:])
+        mean = sums[:, :DIM] / below
+        through = opened.take(nth, axis=0)
+        h = through * mean
+        h += (e @ w["own"] + w["bias"]).take(nth, axis=0)
+        np.tanh(h, out=h)
+        g = h @ w["gate"]
+        g += w["gate0"]
+        if np.abs(w["gate"]).sum(0).max() + np.abs(w["gate0"]).max() > 60:
+            g -= g.max(1, keepdims=True)
+        np.exp(g, out=g)
+        return (found, order, start, e), (key, v, opened), (held, away, below, mean, through, h), g
+
+    def _states(self, ids):
+        """The weights of the experts at each place of windows."""
+        *_, g = self._forward(ids.T)
+        return ((g / g.sum(1, keepdims=True)).reshape(*ids.T.shape, -1).transpose(1, 0, 2),)
 
     def _mix(self, weights, targets):
         parts = weights * self.experts[targets]
         return parts, FLOOR * self.base[targets] + (1 - FLOOR) * parts.sum(-1)
 
     def _gradients(self, ids, targets, live):
-        w = self.w
-        e, q, k, v, a, h, weights = self._states(ids)
-        parts, p = self._mix(weights, targets)
-        r = (1 - FLOOR) * parts / p[..., None] * live[..., None]
-        n = np.float32(live.sum())
-        dg = (weights * r.sum(-1, keepdims=True) - r) / n
-        dh = dg @ w["gate"].T * (1 - h * h)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dv, dq, dk = a.transpose(0, 2, 1) @ dh, ds @ k / np.float32(math.sqrt(DIM)), ds.transpose(0, 2, 1) @ q
-        de = dh @ w["own"].T + dv @ w["v"].T + dq @ w["q"].T + dk @ w["k"].T
-        flat = lambda x: x.reshape(-1, x.shape[-1])
+        """Of windows of ids and their targets; live: the places that count. Also their shares of the experts: targets, rows."""
+        w, targets, live = self.w, targets.T.ravel(), live.T.ravel()
+        (found, order, start, e), (key, v, opened), (held, away, below, mean, through, h), g = self._forward(ids.T)
+        ones = np.ones(EXPERTS, g.dtype)
+        total = g @ ones
+        parts = self.experts.take(targets, axis=0) * g
+        own = (1 - FLOOR) * (parts @ ones) / total
+        p = FLOOR * self.base.take(targets) + own
+        parts *= ((1 - FLOOR) * live / (p * total)).astype(g.dtype)[:, None]
+        g *= (live * own / (p * total)).astype(g.dtype)[:, None]
+        g -= parts
+        part = g.dtype.type(1 / max(1, live.sum()))
+        dz = g @ (w["gate"].T * part)
+        h2 = h * h
+        np.subtract(1, h2, out=h2)
+        dz *= h2
+        dsums = np.empty((len(order), 2 * DIM), g.dtype)
+        np.multiply(dz, through, out=dsums[:, :DIM])
+        dsums[:, :DIM] /= below
+        np.multiply(dsums[:, :DIM], -mean, out=dsums[:, DIM:])
+        dsums = dsums.reshape(WINDOW, -1)
+        by_id = lambda rows: np.add.reduceat(rows.take(order, axis=0), start, axis=0)
+        dheld, dthrough, dz = by_id((away.T @ dsums).reshape(len(order), -1)), by_id(dz * mean), by_id(dz)
+        d = np.concatenate([dthrough * opened * (1 - opened), (dheld[:, :DIM] * v + dheld[:, DIM:]) * key, dheld[:, :DIM] * key, dz], 1)
         emb = np.zeros_like(w["emb"])
-        at, sums = summed(ids.ravel(), flat(de))
-        emb[at] = sums
-        near = np.bincount(np.maximum(self.lag, 0).ravel(), (ds.sum(0) * (self.lag >= 0)).ravel(), WINDOW).astype(np.float32)
-        grad = {"emb": emb, "q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "own": flat(e).T @ flat(dh), "bias": flat(dh).sum(0), "near": near, "gate": flat(h).T @ flat(dg), "gate0": flat(dg).sum(0)}
-        return grad, (targets[live], r[live])
+        emb[found] = d @ np.concatenate([w["q"], w["k"], w["v"], w["own"]], 1).T
+        near = np.bincount(np.maximum(self.lag, 0).ravel(), ((dsums @ held.T) * away).ravel(), WINDOW).astype(w["near"].dtype)
+        grad = {"emb": emb, **dict(zip(("q", "k", "v", "own"), np.split(e.T @ d, 4, 1), strict=True)), "bias": dz.sum(0), "near": near, "gate": h.T @ g * part, "gate0": (np.ones(len(g), g.dtype) @ g) * part}
+        return grad, (targets, parts)
 
     def scorer(self) -> "Scorer":
         return Scorer(self)
 
 
+def windows_of(shown: np.ndarray, flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = first[:, None] + np.arange(WINDOW)
+    live = at < end[:, None]
+    return shown.take(at, mode="clip"), flat.take(at, mode="clip"), live
+
+
+class Steps:
+    """Adam on attention and gates, with stepwise expectation-maximisation of the experts."""
+
+    def __init__(self, model: AttentionModel, past: int = 0):
+        """past: steps that the model's expected counts have seen before."""
+        self.model, self.step, self.past = model, 0, past
+        self.m = {k: np.zeros_like(x) for k, x in model.w.items()}
+        self.s = {k: np.zeros_like(x) for k, x in model.w.items()}
+
+    def take(self, ids, targets, live, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """One step; returns ids and the sums of their shares of the experts, which are live places in all."""
+        self.step += 1
+        model, step = self.model, self.step
+        grad, counts = model._gradients(ids, targets, live)
+        eta = np.float32(max(0.01, (step + self.past + 2) ** -0.6))
+        found, order, start = grouped(counts[0])
+        sums = np.add.reduceat(counts[1].take(order, axis=0), start, axis=0)
+        model.sums *= 1 - eta
+        model.sums[found] += eta * sums
+        model.settle()
+        for k, g in grad.items():
+            m, s = self.m[k], self.s[k]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            model.w[k] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+        return found, sums
+
+
 class Scorer:
-    """The fitted model as tables by id, so that a window's queries, keys and values are single reads.
+    """The fitted model as tables by id, so that what a window needs of its ids are single reads.
 
     Batches are small enough for their arrays to stay in the processor's cache.
     """
@@ -237,11 +307,11 @@ class Scorer:
     def __init__(self, model: AttentionModel, opens: np.ndarray | None = None):
         """opens: which share of each compact id's mass belongs to ids that open a word (or to the end)."""
         w = model.w
-        # Queries, keys, values with a 1 (whose mix is the sum of the weights), and the places' own parts.
-        self.table = np.concatenate([w["emb"] @ w["q"] / np.float32(math.sqrt(DIM)), w["emb"] @ w["k"], w["emb"] @ w["v"], np.ones((len(model.base), 1)), w["emb"] @ w["own"] + w["bias"]], 1).astype(np.float32)
-        self.decay = np.exp(model.bands())
-        size = lambda x: float(np.sqrt((x * x).sum(1).max(initial=0)))
-        self.bounded = size(self.table[:, :DIM]) * size(self.table[:, DIM : 2 * DIM]) < 30
+        key = np.exp(np.clip(w["emb"] @ w["k"], -30, 30))
+        # What an id adds to later places, and what it takes for its own.
+        self.held = np.concatenate([key * (w["emb"] @ w["v"]), key], 1).astype(np.float32)
+        self.asks = np.concatenate([1 / (1 + np.exp(-np.clip(w["emb"] @ w["q"], -30, 30))), w["emb"] @ w["own"] + w["bias"]], 1).astype(np.float32)
+        self.away = model.distances().astype(np.float32)
         # States lie within -1 and 1; beyond these bounds the gates shrink, so that no exponential overflows.
         shrink = min(1.0, 60 / max(1e-9, float(np.abs(w["gate"]).sum(0).max())))
         self.gate = (w["gate"] * np.float32(shrink)).astype(np.float32)
@@ -254,31 +324,29 @@ class Scorer:
         self.sums = np.stack([self.start, self.opens @ self.experts], 1)
         self.base_opens = float(self.opens @ self.base)
 
-    def walk(self, flat: np.ndarray, lengths: np.ndarray, batch: int = 20):
+    def walk(self, flat: np.ndarray, lengths: np.ndarray, batch: int = 64):
         """(positions, targets, gates) of all places of sequences laid end to end, each once."""
         shown = np.concatenate([[self.end], flat[:-1]]).astype(np.int32)
         shown[np.cumsum(lengths)[:-1]] = self.end
         first, end, skip = window_index(lengths)
-        place = np.arange(WINDOW)
+        place = np.arange(WINDOW)[:, None]
         for context in (0, WINDOW - STRIDE):
-            # Places that are context only have keys and values, but no queries.
+            # Places that are context only are looked at, but don't ask.
             windows = np.flatnonzero(skip == context)
             for lo in range(0, len(windows), batch):
                 of = windows[lo : lo + batch]
-                at = first[of, None] + place
-                x = self.table.take(shown.take(at, mode="clip"), axis=0)
-                asked = x[:, context:]
-                a = asked[..., :DIM] @ x[..., DIM : 2 * DIM].transpose(0, 2, 1)
-                if not self.bounded:
-                    np.minimum(a, np.float32(30), out=a)
-                np.exp(a, out=a)
-                a *= self.decay[context:]
-                h = a @ x[..., 2 * DIM : 3 * DIM + 1]
-                h = h[..., :DIM] * np.reciprocal(h[..., DIM:])
-                h += asked[..., 3 * DIM + 1 :]
-                at = at[:, context:]
-                live = at < end[of, None]
-                h, at = (h[live], at[live]) if not live.all() else (h.reshape(-1, DIM), at.ravel())
+                at = first[of] + place
+                ids = shown.take(at, mode="clip")
+                sums = (self.away[context:] @ self.held.take(ids, axis=0).reshape(WINDOW, -1)).reshape(-1, 2 * DIM)
+                at = at[context:]
+                live = (at < end[of]).ravel()
+                at, ids = at.ravel(), ids[context:].ravel()
+                if not live.all():
+                    at, ids, sums = at[live], ids[live], sums[live]
+                asks = self.asks.take(ids, axis=0)
+                h = sums[:, :DIM] / sums[:, DIM:]
+                h *= asks[:, :DIM]
+                h += asks[:, DIM:]
                 np.tanh(h, out=h)
                 g = h @ self.gate
                 np.exp(g, out=g)
@@ -310,27 +378,6 @@ class Scorer:
         after[np.searchsorted(first, np.cumsum(lengths) - 1)] = 0.0
         return np.add.reduceat(ids, first) - own + after
 
-    def expected(self, flat: np.ndarray, lengths: np.ndarray, sums: np.ndarray) -> None:
-        """Adds each place's share of the experts to the row of its id."""
-        v, k = sums.shape
-        held, size = [], 0
-
-        def flush():
-            at = np.concatenate([t for t, _ in held])[:, None] * k + np.arange(k)
-            sums.ravel()[:] += np.bincount(at.ravel(), np.concatenate([x for _, x in held]).ravel(), v * k)
-
-        for _, target, g in self.walk(flat, lengths):
-            share = g * self.experts.take(target, axis=0)
-            share /= (share @ np.ones(k, np.float32))[:, None]
-            held.append((target, share))
-            size += len(target)
-            # A flush goes over all sums, so it waits for as many places as there are ids.
-            if size >= max(8192, v):
-                flush()
-                held, size = [], 0
-        if held:
-            flush()
-
 
 def _chunks(texts: list[str], chars: int = CHUNK_CHARS):
     first, size = 0, 0
@@ -390,14 +437,6 @@ def _open_share(path: str, counts: np.ndarray, used: np.ndarray) -> np.ndarray:
     return np.append(spaced[used].astype(np.float32), rest.mean() if len(rest) else 0.0)
 
 
-def first_texts(learn: DataFrame, n: int = FIRST_DOCS) -> list[str]:
-    """The texts of the n distinct documents whose hashes are least. Only hashes are grouped and sorted."""
-    keyed = learn.select(F.xxhash64("doc_id", F.lit(5), F.md5("text")).alias("key"), "text")
-    last = keyed.select("key").distinct().orderBy("key").limit(n).agg(F.max("key")).first()[0]
-    found = keyed.filter(F.col("key") <= (F.lit(last) if last is not None else F.lit(None).cast("bigint"))).dropDuplicates(["key"])
-    return [r["text"] for r in sorted(found.collect(), key=lambda r: r["key"])]
-
-
 def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
     """The words of the largest counts, `most` of them at most: all whose counts reach a limit that a short table of counts gives."""
     size = F.floor(F.log2(F.col("n").cast("double")) * 16).alias("size")
@@ -414,8 +453,73 @@ def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
-def fit(learn: DataFrame, words: DataFrame, path: str) -> tuple[Scorer, np.ndarray]:
-    """The model and the compact numbers of the tokenizer's ids. learn: rows (doc_id, text); words: their word counts."""
+def drawn_words(head: dict[bytes, int], ids: WordIds, seed: int = 8) -> list[np.ndarray]:
+    """Sequences of words drawn by their counts, from which all tasks start: they know how words are spelt, but no text."""
+    draw = np.random.default_rng(seed)
+    words = sorted(head)
+    shares = np.array([head[w] for w in words], np.float64)
+    picked = draw.choice(len(words), (STEPS, START_WORDS), p=shares / shares.sum())
+    flat, lengths, *_ = ids.sequences([[words[k] for k in row] for row in picked.tolist()])
+    return np.split(flat, np.cumsum(lengths)[:-1])
+
+
+def learn_from_all(model: AttentionModel, learn: DataFrame, path: str, compact: np.ndarray) -> None:
+    """Each task goes once over all of its documents, from the same start; their weights are averaged by the ids they saw, their experts' counts summed.
+
+    A row holds an id's counts and how far its embedding moved; rows below 0 hold the other weights.
+    """
+    others = [k for k in model.w if k != "emb"]
+    packed = lambda w: np.concatenate([w[k].ravel() for k in others])
+    width = EXPERTS + DIM
+    state = learn.sparkSession.sparkContext.broadcast((model, compact, STEPS))
+
+    def run(batches):
+        start, compact, past = state.value
+        model = copy.deepcopy(start)
+        draw = np.random.default_rng(TaskContext.get().partitionId())
+        ids, steps, total = WordIds(path, compact, len(model.base) - 1), Steps(model, past), np.zeros((len(model.base), EXPERTS))
+        n = 0.0
+        for batch in batches:
+            for _, texts in _chunks(batch.column(0).to_pylist()):
+                flat, lengths, *_ = ids.sequences([tokens_of(t) for t in texts])
+                shown = model.shown(flat, lengths)
+                first, end, _ = window_index(lengths, WINDOW)
+                order = draw.permutation(len(first))
+                for lo in range(0, len(order), BATCH):
+                    of = order[lo : lo + BATCH]
+                    rate = RATE * min(1, (steps.step + 1) / 20) / math.sqrt(1 + steps.step / 300)
+                    found, sums = steps.take(*windows_of(shown, flat, first[of], end[of]), rate)
+                    # Later steps know more of what the experts are for.
+                    total[found] += steps.step * sums
+                    n += sums.sum(dtype=np.float64)
+        total *= n / max(1.0, total.sum())
+        seen = np.flatnonzero(total.sum(1))
+        moved = (model.w["emb"] - start.w["emb"])[seen] * total[seen].sum(1, keepdims=True)
+        rest = (packed(model.w) - packed(start.w)) * n
+        rest = np.pad(rest, (0, -len(rest) % width)).reshape(-1, width)
+        rows = np.concatenate([rest, np.concatenate([total[seen], moved], 1)]).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1 - np.arange(len(rest)), seen).astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(width))], names=["id", *(f"x{k}" for k in range(width))])
+
+    names = [f"x{k}" for k in range(width)]
+    found = learn.select("text").mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in names)).groupBy("id").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    state.unpersist()
+    rows, ids = np.stack([found.column(c).to_numpy() for c in names], 1), found.column("id").to_numpy()
+    model.sums = FIT_WEIGHT * model.sums.astype(np.float64)
+    seen = ids >= 0
+    counts = rows[seen, :EXPERTS]
+    if counts.size:
+        rest = rows[~seen][np.argsort(-ids[~seen])].ravel() / counts.sum()
+        model.w["emb"][ids[seen]] += (rows[seen, EXPERTS:] / counts.sum(1, keepdims=True)).astype(np.float32)
+        for k in others:
+            size = model.w[k].size
+            model.w[k] += rest[:size].reshape(model.w[k].shape).astype(np.float32)
+            rest = rest[size:]
+        model.sums[ids[seen]] += counts
+    model.settle()
+
+
+def fit(learn: DataFrame, words: DataFrame, path: str, head: dict[bytes, int] | None = None) -> tuple[Scorer, np.ndarray]:
+    """The model and the compact numbers of the tokenizer's ids. learn: rows (doc_id, text); words: their word counts; head: those of the frequent words."""
     counts = id_counts(words, path)
     used = np.flatnonzero(counts)
     compact = np.full(len(counts), len(used), np.int32)
@@ -428,29 +532,12 @@ def fit(learn: DataFrame, words: DataFrame, path: str) -> tuple[Scorer, np.ndarr
     # An unseen id gets its part of that share.
     model = AttentionModel(share)
     opens = np.append(_open_share(path, counts, used), 1.0)
-    first = first_texts(learn)
-    ids = WordIds(path, compact, len(share) - 1)
-    if first:
-        flat, lengths, *_ = ids.sequences([tokens_of(t) for t in first])
-        model.fit(np.split(flat, np.cumsum(lengths)[:-1]))
-    scorer = model.scorer()
-    state = learn.sparkSession.sparkContext.broadcast((scorer, compact))
-
-    def expect(batches):
-        scorer, compact = state.value
-        ids, sums = WordIds(path, compact, scorer.end), np.zeros((len(scorer.base), EXPERTS))
-        for batch in batches:
-            for _, texts in _chunks(batch.column(0).to_pylist()):
-                flat, lengths, *_ = ids.sequences([tokens_of(t) for t in texts])
-                scorer.expected(flat, lengths, sums)
-        seen = np.flatnonzero(sums.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(sums[seen, k]) for k in range(EXPERTS))], names=["id", *(f"e{k}" for k in range(EXPERTS))])
-
-    sums = learn.select("text").mapInArrow(expect, "id int, " + ", ".join(f"e{k} double" for k in range(EXPERTS))).groupBy("id").agg(*(F.sum(f"e{k}").alias(f"e{k}") for k in range(EXPERTS))).toArrow()
-    if sums.num_rows:
-        model.sums = FIT_WEIGHT * model.sums.astype(np.float64)
-        model.sums[sums.column("id").to_numpy()] += np.stack([sums.column(f"e{k}").to_numpy() for k in range(EXPERTS)], 1)
-        model.settle()
+    head = frequent_words(words, HEAD) if head is None else head
+    if len(used):
+        model.fit(drawn_words(head, WordIds(path, compact, len(share) - 1)))
+    else:
+        model.sums *= 0
+    learn_from_all(model, learn, path, compact)
     scorer = Scorer(model, opens)
     # From here on the shared row of unseen ids stands for any single one of them.
     lone = np.float32(1 / max(1, len(counts) - len(used)))
@@ -468,7 +555,7 @@ def score(docs: DataFrame, tokenizer_path: str, held_out, id_col: str = "doc_id"
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
     head = frequent_words(words, HEAD)
-    scorer, compact = fit(learn, words, tokenizer_path)
+    scorer, compact = fit(learn, words, tokenizer_path, head)
     state = docs.sparkSession.sparkContext.broadcast((scorer, compact, head))
     unit = n + v + 1
 

@@ -77,6 +77,21 @@ def test_experts_learn_from_every_document(spark, monkeypatch):
     assert abs(seen[-1] - lm_score.FIT_WEIGHT * fitted[-1] - n_ids) < 1e-3 * n_ids
 
 
+def test_attention_learns_from_every_document(spark, monkeypatch):
+    """Each of 1,600 documents has an id of its own, whose embedding only that document can move; the start may see few words."""
+    monkeypatch.setattr(lm_score, "STEPS", 1)
+    monkeypatch.setattr(lm_score, "START_WORDS", 1, raising=False)
+    enc = lm_score.encoder(BYTE_BPE)
+    own = [b for b in sorted(enc.bytes_of.values()) if b[:1] == b" " and len(b) > 4 and b[1:].isalpha() and b.islower() and b.isascii() and len(enc.ordinary(b.decode())) == 1][:1600]
+    learn = frame(spark, [(i, b.decode()) for i, b in enumerate(own)]).select("doc_id", "text").repartition(3)
+    kept = []
+    begin = lm_score.Scorer.__init__
+    monkeypatch.setattr(lm_score.Scorer, "__init__", lambda self, model, *a: (begin(self, model, *a), kept.append(model))[0])
+    lm_score.fit(learn, lm_score.write_table(lm_score.word_counts(learn), "words"), BYTE_BPE)
+    moved = (kept[-1].w["emb"] != lm_score.AttentionModel(kept[-1].base).w["emb"]).any(1)
+    assert len(own) == 1600 and len(moved) == 1602 and moved[:1600].all()
+
+
 def test_one_id_on_many_rows_keeps_the_sample(spark, monkeypatch):
     """A labelled id on a third of the rows: at most `sample` documents reach the driver, each text once."""
     draw = random.Random(4)
