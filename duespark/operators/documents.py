@@ -28,9 +28,14 @@ def _says(line: Column, pattern: str) -> Column:
     return line.rlike(pattern.replace(r"\b", _W))
 
 
+def is_whole(amount: Column) -> Column:
+    """Whether a positive amount has no fraction. A double from 2 ** 53 on has none, and may be too large for the bigint that floor gives."""
+    return (amount >= float(2**53)) | (F.floor(amount) == amount)
+
+
 def magnitude_score(amount: Column) -> Column:
     """TXT-03: fractions and large amounts count for a total, years, millions and less than one against it."""
-    whole = F.floor(amount) == amount
+    whole = is_whole(amount)
     size = F.when(amount >= 10_000, 6).when(amount >= 100, 4).when(amount >= 1, 1).otherwise(-5)
     return F.when(whole, 0).otherwise(6) - F.when(whole & amount.between(1900, 2100), 18).otherwise(0) - F.when(amount >= 1_000_000, 8).otherwise(0) + size
 
@@ -84,7 +89,7 @@ def totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.when(_says(line, STRONG) | _says(line, WEAK), scored)
 
     def like_money(line: Column, k: Column) -> Column:
-        fits = ~_says(line, NEGATIVE) & (_says(line, WEAK) | _says(line, MONEY_MARK) | _says(line, FRACTION) | F.exists(of(k), lambda a: F.floor(a) != a))
+        fits = ~_says(line, NEGATIVE) & (_says(line, WEAK) | _says(line, MONEY_MARK) | _says(line, FRACTION) | F.exists(of(k), lambda a: ~is_whole(a)))
         return F.when(fits, F.transform(of(k), lambda a: F.struct((place_score(k, F.col("n")) + magnitude_score(a)).alias("score"), a.alias("amount"), k.alias("line"))))
 
     best = lambda of_line: F.array_max(F.flatten(F.array_compact(F.transform("lines", of_line))))
